@@ -1,13 +1,14 @@
 """Operator 10: byte-level BPE encoding and decoding by a global distinct-word
 shuffle.
 
-encode(): whole documents are cut into blocks of a few megabytes of text; a
-block's pre-tokens are exploded to (word, block, code), one row for each
-distinct word of a block, and their positions to one compressed row of codes
-for each block.  The word rows are dealt by word, each distinct word is merged
-once, its ids are dealt back to the blocks and the positions put them in
-place.  A word has at most one row in a block, so no word can hold more than
-one part in (distinct words of a block) of the rows, however frequent it is.
+encode(): whole documents are cut into blocks of a few megabytes of text.  A
+block's pre-tokens are exploded with their positions; its distinct words go to
+buckets by hash, packed to one row for each block and bucket, and the positions
+to one row of codes for each block.  All rows of a bucket meet in one task,
+where each distinct word of the corpus is merged once; the ids go back to the
+blocks in the order in which the words came, and the positions put them in
+place.  A word is at most once in a block's rows, so no word can hold more
+than one part in (distinct words of a block) of them, however frequent it is.
 
 decode(): the token-byte table (bounded by the vocabulary) is joined to ids.
 
@@ -93,36 +94,79 @@ def ragged(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndar
     return flat[np.arange(total) + shift]
 
 
-def block_words(data: np.ndarray, off: np.ndarray):
-    """Distinct pre-tokens of a block of rows (as codes by first appearance),
-    the code of each position, and each row's first position."""
-    codes_of, rows, reps = [], [0], []
-    hashes = []
-    for lo, hi in X.spans(off):
+def block_words(data: np.ndarray, off: np.ndarray, buckets: int):
+    """The distinct pre-tokens of a block of rows, by bucket and sorted within;
+    the first of each bucket; the number of the pre-token at each position; and
+    each row's first position."""
+    parts, rows, hashes = [], [0], []
+    for lo, hi in X.spans(off, 1 << 18):
         part, o = data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo]
         cp, co = X.code_points(part, o)
         s = X.pretoken_starts(cp, co)
         e = np.append(s[1:], len(cp))
         value = X.mix64(cp.astype(X.U64) + X.U64(0x9E3779B97F4A7C15))
         hashes.append(X.span_hashes(value, s, e))
-        codes_of.append((s, e, part, cp))
-        rows += list(rows[-1] + np.searchsorted(s, co)[1:])
+        parts.append((s, e, part, len(cp)))
+        rows += (rows[-1] + np.searchsorted(s, co)[1:]).tolist()
     h = np.concatenate(hashes) if hashes else np.zeros(0, X.U64)
     codes, distinct = pd.factorize(h)
     first = np.full(len(distinct), -1, np.int64)
     first[codes[::-1]] = np.arange(len(codes))[::-1]
-    at = 0
-    for s, e, part, cp in codes_of:
+    reps, at = [], 0
+    for s, e, part, n in parts:
         mine = first[(first >= at) & (first < at + len(s))] - at
-        if len(cp) == len(part):
-            bs, be = s[mine], e[mine]
-        else:
+        bs, be = s[mine], e[mine]
+        if n != len(part):
             byte = np.append(np.flatnonzero((part & 0xC0) != 0x80), len(part))
-            bs, be = byte[s[mine]], byte[e[mine]]
+            bs, be = byte[bs], byte[be]
         raw = part.tobytes()
         reps += [raw[a:b] for a, b in zip(bs.tolist(), be.tolist())]
         at += len(s)
-    return reps, codes.astype(np.uint32), np.asarray(rows, np.int64)
+    bucket = (distinct % X.U64(buckets)).astype(np.int64)
+    order = np.array(sorted(range(len(reps)), key=reps.__getitem__), np.int64) if reps else np.zeros(0, np.int64)
+    order = order[np.argsort(bucket[order], kind="stable")]
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    return [reps[i] for i in order.tolist()], np.searchsorted(bucket[order], np.arange(buckets + 1)), rank[codes], np.asarray(rows, np.int64)
+
+
+def planes(numbers: np.ndarray) -> bytes:
+    """32-bit numbers by bytes of equal weight, which packs better."""
+    return np.ascontiguousarray(numbers, "<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def unplanes(raw: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, -1).T).view("<u4").ravel()
+
+
+def pack_words(words: list[bytes]) -> bytes:
+    return zstandard.ZstdCompressor(level=5).compress(planes(np.array([len(w) for w in words], np.uint32)) + b"".join(words))
+
+
+def unpack_words(packed: bytes, n: int) -> list[bytes]:
+    raw = zstandard.ZstdDecompressor().decompress(packed)
+    ends = np.cumsum(unplanes(raw[: 4 * n])) + 4 * n
+    return [raw[a:b] for a, b in zip([4 * n, *ends[:-1].tolist()], ends.tolist())]
+
+
+HOT = 8  # words as frequent as that in a block get the least codes
+
+
+def pack_positions(codes: np.ndarray, n_words: int) -> bytes:
+    count = np.bincount(codes, minlength=n_words)
+    hot = np.flatnonzero(count >= HOT)
+    hot = hot[np.argsort(-count[hot], kind="stable")]
+    to = np.arange(n_words) + len(hot)
+    to[hot] = np.arange(len(hot))
+    raw = len(hot).to_bytes(4, "little") + hot.astype("<u4").tobytes() + planes(to[codes])
+    return zstandard.ZstdCompressor(level=3).compress(raw)
+
+
+def unpack_positions(packed: bytes) -> np.ndarray:
+    raw = zstandard.ZstdDecompressor().decompress(packed)
+    n = int.from_bytes(raw[:4], "little")
+    hot, codes = np.frombuffer(raw, "<u4", n, 4), unplanes(raw[4 + 4 * n :]).astype(np.int64)
+    return np.where(codes < n, hot[np.minimum(codes, n - 1)] if n else 0, codes - n)
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], limit: int):
@@ -136,24 +180,26 @@ def _blocks(batches: Iterator[pa.RecordBatch], limit: int):
             number += 1
 
 
-def _word_rows(limit: int):
+def _word_rows(limit: int, buckets: int):
     def run(batches):
         for block, _, data, off in _blocks(batches, limit):
-            reps, _, _ = block_words(data, off)
-            n = len(reps)
-            yield pa.RecordBatch.from_arrays([pa.array(reps, pa.binary()), pa.array(np.full(n, block)), pa.array(np.arange(n, dtype=np.int32))], ["word", "block", "code"])
+            words, first, _, _ = block_words(data, off, buckets)
+            for lo in range(0, buckets, 64):
+                full = [b for b in range(lo, min(lo + 64, buckets)) if first[b + 1] > first[b]]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(full, pa.int32()), pa.array([block] * len(full), pa.int64()), pa.array([int(first[b + 1] - first[b]) for b in full], pa.int64()), pa.array([pack_words(words[first[b] : first[b + 1]]) for b in full], pa.binary())],
+                    ["bucket", "block", "n", "words"],
+                )
 
     return run
 
 
-def _position_rows(limit: int, kind: pa.DataType):
+def _position_rows(limit: int, buckets: int, kind: pa.DataType):
     def run(batches):
-        pack = zstandard.ZstdCompressor(level=3)
         for block, ids, data, off in _blocks(batches, limit):
-            reps, codes, rows = block_words(data, off)
-            planes = codes.view(np.uint8).reshape(-1, 4).T.tobytes()
+            words, _, codes, rows = block_words(data, off, buckets)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([block]), pa.array([len(reps)]), pa.array([ids.cast(kind).to_pylist()], pa.list_(kind)), pa.array([rows.tolist()], pa.list_(pa.int64())), pa.array([pack.compress(planes)], pa.binary())],
+                [pa.array([block]), pa.array([len(words)]), pa.array([ids.cast(kind).to_pylist()], pa.list_(kind)), pa.array([rows.tolist()], pa.list_(pa.int64())), pa.array([pack_positions(codes, len(words))], pa.binary())],
                 ["block", "n_words", "doc_ids", "first", "positions"],
             )
 
@@ -163,44 +209,49 @@ def _position_rows(limit: int, kind: pa.DataType):
 def _encode_words(ranks):
     def run(batches):
         table_ = ranks.value
-        known: dict[bytes, bytes] = {}
+        at, known = None, {}
         for batch in batches:
             out = []
-            for w in batch.column(0).to_pylist():
-                ids = known.get(w)
-                if ids is None:
-                    ids = np.array(merge(w, table_), "<u4").tobytes()
-                    if len(known) > 400_000:  # rows come sorted by word, so none is lost that is needed again
-                        known.clear()
-                    known[w] = ids
-                out.append(ids)
-            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(out, pa.binary())], ["block", "code", "ids"])
+            for bucket, n, packed in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                if bucket != at:  # rows come sorted by bucket: each word is merged once
+                    at, known = bucket, {}
+                ids, lengths = [], []
+                for w in unpack_words(packed, n):
+                    got = known.get(w)
+                    if got is None:
+                        known[w] = got = merge(w, table_)
+                    ids += got
+                    lengths.append(len(got))
+                out.append(zstandard.ZstdCompressor(level=3).compress(planes(np.array(lengths, np.uint32)) + planes(np.array(ids, np.uint32))))
+            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(0), batch.column(2), pa.array(out, pa.binary())], ["block", "bucket", "n", "ids"])
 
     return run
 
 
 def _place(kind: pa.DataType):
     names = ["doc_id", "n_tokens", "ids"]
-    types = [kind, pa.int64(), pa.large_binary()]
+    types = [kind, pa.int64(), pa.binary()]
 
     def run(places: pa.Table, words: pa.Table) -> pa.Table:
         done = []
+        parts = sorted(words.to_pylist(), key=lambda r: r["bucket"])
+        lengths, flat = [np.zeros(0, np.int64)], [np.zeros(0, np.uint32)]
+        for r in parts:
+            raw = zstandard.ZstdDecompressor().decompress(r["ids"])
+            lengths.append(unplanes(raw[: 4 * r["n"]]).astype(np.int64))
+            flat.append(unplanes(raw[4 * r["n"] :]))
+        lengths, flat = np.concatenate(lengths), np.concatenate(flat)
+        starts = np.cumsum(lengths) - lengths
         for row in places.to_pylist():
-            if words.num_rows != row["n_words"]:
-                raise RuntimeError(f"block {row['block']} has {words.num_rows} words, its positions {row['n_words']}: the input's rows changed between two reads")
-            order = np.argsort(words.column("code").to_numpy(), kind="stable")
-            data, off = X.utf8(words.column("ids"))
-            flat = np.frombuffer(data.tobytes(), "<u4")
-            starts, lengths = (off[:-1] // 4)[order], (np.diff(off) // 4)[order]
-            raw = zstandard.ZstdDecompressor().decompress(row["positions"])
-            codes = np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, -1).T).view(np.uint32).ravel()
+            if len(lengths) != row["n_words"]:
+                raise RuntimeError(f"block {row['block']} has {len(lengths)} words, its positions {row['n_words']}: the input's rows changed between two reads")
+            codes = unpack_positions(row["positions"])
             ids = ragged(flat, starts[codes], lengths[codes])
             ends = np.concatenate([[0], np.cumsum(lengths[codes])])[np.asarray(row["first"], np.int64)]
-            buf = pa.py_buffer(ids.tobytes())
+            buf = pa.py_buffer(ids.astype("<u4").tobytes())
             col = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ends) - 1, [None, pa.py_buffer((ends * 4).astype(np.int64).tobytes()), buf])
-            done.append(pa.table([pa.array(row["doc_ids"], kind), pa.array(np.diff(ends)), col], names=names))
-        out = pa.concat_tables(done) if done else pa.table([pa.array([], t) for t in types], names=names)
-        return out.set_column(2, "ids", out.column(2).cast(pa.binary()))
+            done.append(pa.table([pa.array(row["doc_ids"], kind), pa.array(np.diff(ends)), col.cast(pa.binary())], names=names))
+        return pa.concat_tables(done) if done else pa.table([pa.array([], t) for t in types], names=names)
 
     return run
 
@@ -212,10 +263,11 @@ def encode(df: DataFrame, ranks: dict[bytes, int], id_col: str = "doc_id", text_
     docs = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     sql_kind = docs.schema["doc_id"].dataType.simpleString()
     kind = pa.string() if sql_kind == "string" else pa.int32() if sql_kind == "int" else pa.int64()
-    words = docs.mapInArrow(_word_rows(block_bytes), "word binary, block long, code int")
-    places = docs.mapInArrow(_position_rows(block_bytes, kind), f"block long, n_words long, doc_ids array<{sql_kind}>, first array<long>, positions binary")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    encoded = words.repartition(n, "word").sortWithinPartitions("word").mapInArrow(_encode_words(shared), "block long, code int, ids binary")
+    buckets = 4 * n
+    words = docs.mapInArrow(_word_rows(block_bytes, buckets), "bucket int, block long, n long, words binary")
+    places = docs.mapInArrow(_position_rows(block_bytes, buckets, kind), f"block long, n_words long, doc_ids array<{sql_kind}>, first array<long>, positions binary")
+    encoded = words.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_encode_words(shared), "block long, bucket int, n long, ids binary")
     return places.groupBy("block").cogroup(encoded.groupBy("block")).applyInArrow(_place(kind), f"doc_id {sql_kind}, n_tokens long, ids binary")
 
 
