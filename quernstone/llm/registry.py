@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
-from . import bpe
+from . import bpe, langid, line_dedup, quality, toxicity
 
 QUERIES = {
+    "op3_quality_rules": quality.query,
+    "op4_toxicity": toxicity.query,
+    "op6_language_id": langid.query,
+    "op9_line_dedup": line_dedup.query,
     "op10_byte_bpe": bpe.query,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {
+    "op3_quality_rules": quality.SQL,
+    "op9_line_dedup": line_dedup.SQL,
+}

@@ -36,3 +36,36 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def parallelism(spark: SparkSession) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+
+
+def extend(df: DataFrame, column: str, function, fields: str) -> DataFrame:
+    """df with further columns (fields, as DDL) that function makes from the
+    Arrow array of one column, batch by batch; columns of those names go first."""
+    import pyarrow as pa
+    from pyspark.sql.types import StructType
+
+    more = StructType.fromDDL(fields)
+    df = df.select([c for c in df.columns if c == column or c not in more.names])
+    place = df.columns.index(column)
+
+    def run(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns, *function(batch.column(place))], [*batch.schema.names, *more.names])
+
+    return df.mapInArrow(run, StructType([*df.schema.fields, *more.fields]))
+
+
+def bounded_sample(df: DataFrame, key: str, limit: int) -> DataFrame:
+    """About limit rows: those of the least hashes of key (rows of one key go together)."""
+    from pyspark.sql import functions as F
+
+    h = F.xxhash64(F.col(key).cast("string"))
+    last = df.select(h.alias("h")).orderBy("h").limit(limit).agg(F.max("h")).first()[0]
+    return df.where(h <= F.lit(last)) if last is not None else df.limit(0)
+
+
+def held_out(key: str = "doc_id"):
+    """Rows that no model learns from: crc32 of the id's text modulo 3 is 1."""
+    from pyspark.sql import functions as F
+
+    return F.coalesce(F.crc32(F.col(key).cast("string")) % 3 == 1, F.lit(False))

@@ -225,3 +225,44 @@ def pretoken_starts(cp: np.ndarray, off: np.ndarray) -> np.ndarray:
         rest = q + 1 + length
         start[rest[rest < n]] = True
     return np.flatnonzero(start)
+
+
+_FOLD = np.full(256, 32, np.uint8)
+_FOLD[ord("a") : ord("z") + 1] = np.arange(ord("a"), ord("z") + 1)
+_FOLD[ord("A") : ord("Z") + 1] = np.arange(ord("a"), ord("z") + 1)
+_FOLD[128:] = np.arange(128, 256)
+
+
+def folded(data: np.ndarray) -> np.ndarray:
+    """Same length: ASCII and Latin-1 letters in lower case, other ASCII bytes
+    as blanks, what else there is unchanged."""
+    out = _FOLD[data]
+    if len(data) > 1:
+        up = np.flatnonzero((data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] <= 0x9E) & (data[1:] != 0x97)) + 1
+        out[up] += 32
+    return out
+
+
+def row_sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Sums of values[first[i]:first[i + 1]]; empty rows give 0."""
+    out = np.zeros((len(first) - 1, *values.shape[1:]), np.float64)
+    full = np.flatnonzero(np.diff(first) > 0)
+    if len(full):
+        out[full] = np.add.reduceat(values, first[full], axis=0, dtype=np.float64)
+    return out
+
+
+def row_max(values: np.ndarray, first: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(first) - 1, np.float64)
+    full = np.flatnonzero(np.diff(first) > 0)
+    if len(full):
+        out[full] = np.maximum.reduceat(values, first[full])
+    return out
+
+
+def row_any(flags: np.ndarray, first: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(first) - 1, bool)
+    full = np.flatnonzero(np.diff(first) > 0)
+    if len(full):
+        out[full] = np.maximum.reduceat(flags.view(np.uint8), first[full]) > 0
+    return out
