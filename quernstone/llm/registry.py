@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from . import bpe, langid, line_dedup, quality, toxicity
+from . import bpe, jaccard, langid, line_dedup, quality, toxicity
 
 QUERIES = {
     "op3_quality_rules": quality.query,
     "op4_toxicity": toxicity.query,
     "op6_language_id": langid.query,
+    "op8_ngram_jaccard_join": jaccard.query,
     "op9_line_dedup": line_dedup.query,
     "op10_byte_bpe": bpe.query,
 }
 ORACLE_SQL = {
     "op3_quality_rules": quality.SQL,
+    "op8_ngram_jaccard_join": jaccard.SQL,
     "op9_line_dedup": line_dedup.SQL,
 }
