@@ -38,5 +38,4 @@ def same(df, sql, folder):
     a, b = rows_of_df(df), rows_of_sql(sql, folder)
     assert a[0] == b[0]
     assert len(a[1]) == len(b[1])
-    for x, y in zip(a[1], b[1]):
-        assert x == y
+    assert [(x, y) for x, y in zip(a[1], b[1]) if x != y][:5] == []
