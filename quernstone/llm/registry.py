@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, jaccard, langid, line_dedup, quality, toxicity
+from . import bpe, decontam, jaccard, langid, line_dedup, packing, quality, toxicity
 
 QUERIES = {
+    "op2_decontamination": decontam.query,
     "op3_quality_rules": quality.query,
     "op4_toxicity": toxicity.query,
+    "op5_packed_tokens": packing.query,
     "op6_language_id": langid.query,
     "op8_ngram_jaccard_join": jaccard.query,
     "op9_line_dedup": line_dedup.query,
