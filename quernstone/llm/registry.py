@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe, decontam, jaccard, langid, line_dedup, packing, quality, toxicity
+from . import bpe, chat, decontam, jaccard, langid, line_dedup, packing, quality, toxicity
 
 QUERIES = {
+    "op1_chat_formatting": chat.query,
     "op2_decontamination": decontam.query,
     "op3_quality_rules": quality.query,
     "op4_toxicity": toxicity.query,
@@ -15,6 +16,7 @@ QUERIES = {
     "op10_byte_bpe": bpe.query,
 }
 ORACLE_SQL = {
+    "op1_chat_formatting": chat.SQL,
     "op3_quality_rules": quality.SQL,
     "op8_ngram_jaccard_join": jaccard.SQL,
     "op9_line_dedup": line_dedup.SQL,
