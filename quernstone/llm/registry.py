@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, decontam, jaccard, langid, line_dedup, packing, quality, toxicity
+from . import bpe, chat, decontam, jaccard, langid, line_dedup, packing, quality, toxicity, wrappers
 
 QUERIES = {
     "op1_chat_formatting": chat.query,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_toxicity": toxicity.query,
     "op5_packed_tokens": packing.query,
     "op6_language_id": langid.query,
+    "op7_html_extraction": wrappers.query,
     "op8_ngram_jaccard_join": jaccard.query,
     "op9_line_dedup": line_dedup.query,
     "op10_byte_bpe": bpe.query,
