@@ -122,5 +122,6 @@ def tree(ctx: Context, subject: str, source: str, path: str, seeds: dict[str, st
             break
         settled = settled.unionByName(new)
         frontier = new
-    rows = g.raw.join(settled, g.raw[i] == settled["id"])
-    return rows.select(*g.projection(), F.col("depth").alias("_depth"), F.col("parent").alias("_parent")).orderBy("_depth", i)
+    found = settled.select(F.col("id").alias("_node"), F.col("depth").alias("_depth"), F.col("parent").alias("_parent"))
+    rows = g.raw.join(found, F.col(i) == F.col("_node"))
+    return rows.select(*g.projection(), "_depth", "_parent").orderBy("_depth", i)

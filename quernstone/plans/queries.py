@@ -180,9 +180,9 @@ _HOME = "SELECT s_suppkey AS u, t.s AS v FROM supplier JOIN (SELECT s_suppkey AS
 _REACH = "WITH RECURSIVE e AS ({edges}), r AS (SELECT v AS id, 1 AS depth FROM e WHERE u {seeds} UNION SELECT v, depth + 1 FROM r JOIN e ON u = id WHERE depth < {depth}) "
 
 
-@query("g1_reach", _REACH.format(edges=_HOME, seeds="> 20", depth=3) + "SELECT * FROM supplier WHERE s_suppkey IN (SELECT id FROM r)")
+@query("g1_reach", _REACH.format(edges=_HOME, seeds="> 2", depth=3) + "SELECT * FROM supplier WHERE s_suppkey IN (SELECT id FROM r)")
 def _(spark, d):
-    return engine(spark, d).graph("admin", "Supplier", path="home", seeds={"s_suppkey": "gt:20"}, depth=3, limit=None)
+    return engine(spark, d).graph("admin", "Supplier", path="home", seeds={"s_suppkey": "gt:2"}, depth=3, limit=None)
 
 
 @query("g2_path_cycle", "SELECT * FROM nation WHERE n_regionkey IN (SELECT n_regionkey FROM nation WHERE n_nationkey < 3)")
@@ -195,20 +195,20 @@ def _(spark, d):
     return engine(spark, d).graph("admin", "Supplier", links=["home", "~home"], seeds={"s_suppkey": "eq:3"}, depth=4, limit=None)
 
 
-@query("g4_core_and_tail", _REACH.format(edges=_HOME, seeds="> 50", depth=5) + "SELECT * FROM nation WHERE n_nationkey IN (SELECT s_nationkey FROM supplier WHERE s_suppkey IN (SELECT id FROM r))")
+@query("g4_core_and_tail", _REACH.format(edges=_HOME, seeds="> 3", depth=5) + "SELECT * FROM nation WHERE n_nationkey IN (SELECT s_nationkey FROM supplier WHERE s_suppkey IN (SELECT id FROM r))")
 def _(spark, d):
-    return engine(spark, d).graph("admin", "Supplier", path="home*,basedIn", seeds={"s_suppkey": "gt:50"}, limit=None)
+    return engine(spark, d).graph("admin", "Supplier", path="home*,basedIn", seeds={"s_suppkey": "gt:3"}, limit=None)
 
 
 @query(
     "g5_shortest_path_tree",
     """WITH RECURSIVE live AS (SELECT * FROM events WHERE event_type != 'error'), e AS (SELECT a.event_id AS u, b.event_id AS v FROM live a JOIN live b ON b.event_id = a.user_id),
-r AS (SELECT event_id AS id, 0 AS depth, CAST(NULL AS BIGINT) AS parent FROM live WHERE event_id > 5000 UNION SELECT v, depth + 1, id FROM r JOIN e ON u = id WHERE depth < 4),
+r AS (SELECT event_id AS id, 0 AS depth, CAST(NULL AS BIGINT) AS parent FROM live WHERE event_id > 500 UNION SELECT v, depth + 1, id FROM r JOIN e ON u = id WHERE depth < 4),
 s AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY depth, parent ASC NULLS FIRST) AS n FROM r)
 SELECT event_id, user_id, depth AS _depth, parent AS _parent FROM s JOIN live ON id = event_id WHERE n = 1""",
 )
 def _(spark, d):
-    return engine(spark, d).tree("clerk", "Event", "refersTo", seeds={"event_id": "gt:5000"}, depth=4).select("event_id", "user_id", "_depth", "_parent")
+    return engine(spark, d).tree("clerk", "Event", "refersTo", seeds={"event_id": "gt:500"}, depth=4).select("event_id", "user_id", "_depth", "_parent")
 
 
 # --- SQL through the gate
