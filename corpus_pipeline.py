@@ -11,14 +11,17 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quernstone.llm import bpe, decontam, jaccard, langid, line_dedup
 from quernstone.llm.spark_util import cut, table
+from quernstone.shipping import shipped
 
 
+@shipped
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is recognised."""
     model = langid.fit_documents(docs)
     return langid.predict(docs, model).where("NOT rejected").select(docs.columns)
 
 
+@shipped
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without repeated chunks of lines; documents that lose all words go."""
     done = line_dedup.dedup(docs).where((F.col("chunks_removed") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
@@ -27,16 +30,19 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return done.select(docs.columns)
 
 
+@shipped
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near duplicates."""
     return jaccard.one_of_each(docs)
 
 
+@shipped
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a passage of the benchmark."""
     return decontam.find_leaks(docs, table(spark, sf_dir, "benchmark")).where(F.size("leaks") == 0).select(docs.columns)
 
 
+@shipped
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The token ids of the kept documents, and their decoded bytes, as digests."""
     ranks = bpe.default_ranks()

@@ -143,8 +143,9 @@ def fit(texts: list[str], langs: list[str], dim: int = 8, epochs: int = 4, rate:
 def fit_documents(df: DataFrame, max_docs: int = MAX_DOCS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
     """From text and non-null lang of the rows that aren't held out."""
     known = df.where(~held_out(id_col) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull())
-    rows = bounded_sample(known.select(id_col, text_col, lang_col), id_col, max_docs).collect()
-    rows = sorted({(r[0], r[1], r[2]) for r in rows})[: 2 * max_docs]
+    some = bounded_sample(known.select(id_col, text_col, lang_col), id_col, max_docs)
+    one = some.groupBy(id_col).agg(F.min(F.struct(text_col, lang_col)).alias("s"))  # a row for each id, however often it comes
+    rows = sorted((r[0], r[1][0], r[1][1]) for r in one.collect())
     return fit([r[1] for r in rows], [r[2] for r in rows])
 
 

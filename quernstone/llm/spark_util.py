@@ -1,33 +1,10 @@
-"""Session helpers: the shared folder, table reading, Arrow batch building."""
+"""Session helpers: table reading, bounded samples, columns made from Arrow arrays."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """A new path under spark.checkpoint.dir, which all executors share.
-
-    A temporary folder stands in only where the setting is absent and the
-    master is local."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        root = getattr(spark, "_quern_shared", None) or tempfile.mkdtemp(prefix="quern-shared-")
-        spark._quern_shared = root
-    return f"{root.rstrip('/')}/quern-{uuid.uuid4().hex}"
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """df written to the shared folder and read again: cuts its lineage, and
-    what follows survives lost executors without computing it anew."""
-    path = shared_dir(df.sparkSession)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+from ..sources.scratch import cut, shared_dir  # noqa: F401  for the operators
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -285,8 +285,8 @@ def fit_documents(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS)
     known = labels.where(~held_out() & F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     known = bounded_sample(known, "doc_id", max_docs)
     text = docs.select("doc_id", "text").where(F.col("text").isNotNull())
-    rows = sorted({(r[0], r[1], r[2]) for r in text.join(F.broadcast(known), "doc_id").select("doc_id", "text", "toxic").collect()})
-    rows = rows[: 2 * max_docs]
+    one = text.join(F.broadcast(known), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))  # a row for each id, however often it comes
+    rows = sorted((r[0], r[1], r[2]) for r in one.collect())
     return fit([r[1] for r in rows], [int(r[2] == 1) for r in rows])
 
 
