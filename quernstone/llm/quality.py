@@ -28,7 +28,7 @@ from . import textnum as X
 from .spark_util import cut, extend, table
 
 MAX_DOCS = 20  # documents of one host that may share a line
-MAX_REMOVED = 0.5  # share of a document's words
+MAX_REMOVED = 0.8  # share of a document's words; a text with a common heading and a little of its own stays
 _SYMBOL = np.isin(np.arange(256), [ord(c) for c in "#*$%&|<>"])
 MEASURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, lines array<struct<h: bigint, n: bigint>>"
 _LINES = pa.list_(pa.struct([("h", pa.int64()), ("n", pa.int64())]))
