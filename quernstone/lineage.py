@@ -68,3 +68,31 @@ def runs(events: DataFrame) -> DataFrame:
         .select("run", F.col("last.time").alias("time"), F.col("last.state").alias("state"), "wrote")
         .orderBy(F.col("time").desc(), "run")
     )
+
+
+OWN = "quern"
+
+
+def dataset_of(name: str, own: str = OWN) -> tuple[str, str]:
+    """(kind, name) of a lineage dataset `namespace:name`: a table or a type of
+    our own namespace, else external.  A name of our own that can't be read is
+    an error, never external."""
+    space, colon, rest = name.partition(":")
+    if not colon or space != own:
+        return "external", name
+    kind, slash, inner = rest.partition("/")
+    if kind == "table" and slash and inner.count(".") == 1 and all(inner.split(".")):
+        return "table", inner
+    if kind == "type" and slash and inner:
+        return "type", inner
+    raise Validation(f"can't read dataset {name}")
+
+
+def binding_events(types: dict, views: dict, time: float, own: str = OWN) -> list[tuple]:
+    """Lineage rows of type bindings (table to type) and views (base to view)."""
+    out = []
+    for t in types.values():
+        out += [(f"bind:{t.name}", time, "complete", f"{own}:table/{t.table}", "input"), (f"bind:{t.name}", time, "complete", f"{own}:type/{t.name}", "output")]
+    for name, (base, _, _) in views.items():
+        out += [(f"view:{name}", time, "complete", f"{own}:table/{base}", "input"), (f"view:{name}", time, "complete", f"{own}:view/{name}", "output")]
+    return out

@@ -8,11 +8,12 @@ from .. import acl as A
 from ..actions import violation_counts
 from ..engine import Engine
 from ..functions import expr as E
-from ..lineage import closure
+from ..lineage import closure, runs
 from ..ontology import Constraint, Derived, Link, ObjectType, Property, VectorIndex, infer_type
-from ..operators.fold import BUCKET, KIND, OFFSET, bounds, feed, fold, frame_log, precedence_fold, strip
+from ..operators.fold import BUCKET, KIND, OFFSET, bounds, emit_cdc, feed, fold, frame_log, lookup_join, precedence_fold, strip
 from ..sources.catalog import Catalog
 from ..sources.scratch import shared_dir
+from ..streaming.streams import batch_sink, structured
 from . import search
 
 IDS = {"region": "r_regionkey", "nation": "n_nationkey", "customer": "c_custkey", "supplier": "s_suppkey", "part": "p_partkey", "orders": "o_orderkey", "lineitem": None, "events": "event_id", "embeddings": "vec_id"}
@@ -321,6 +322,24 @@ def _(spark, d):
     return _view(spark, d, "SELECT c_nationkey, event_type, count(*) AS n FROM delta JOIN customer ON c_custkey = user_id GROUP BY c_nationkey, event_type", "c_nationkey int, event_type string, n long", {"main.customer": None})
 
 
+@query("m4_stream_to_log", "SELECT event_id, user_id FROM events WHERE event_type = 'click'")
+def _(spark, d):
+    """Files through Structured Streaming into a log; a batch sent twice counts once."""
+    eng, folder = Engine(spark, shared_dir(spark)), shared_dir(spark)
+    rows = table(spark, d, "events").where("event_type = 'click'").select("event_id", "user_id")
+    rows.repartitionByRange(3, "event_id").write.parquet(folder)
+    eng.streams.declare("main.clicks", rows.schema, "log", 2)
+    write = batch_sink(eng.streams, "main.clicks", "clicks", ["event_id"])
+
+    def twice(df, batch):
+        write(df, batch)
+        write(df, batch)
+
+    stream = structured(spark, folder, rows.schema).writeStream.foreachBatch(twice).option("checkpointLocation", shared_dir(spark)).trigger(availableNow=True).start()
+    stream.awaitTermination()
+    return strip(eng.streams.events("main.clicks"))
+
+
 # --- vectors
 
 _QUERY_VECTOR = "(SELECT embedding AS q FROM embeddings WHERE vec_id = 7)"
@@ -412,6 +431,102 @@ def _(spark, d):
     return df.select("p_partkey", make("@p_brand ++ '-' ++ upper(@p_name)").alias("a"), make("if @p_size > 25 and @p_retailprice < 1500 then @p_size / 7 else -(@p_size % 7)").cast("long").alias("b"), make("length(substr(@p_type, 2, 2))").alias("c"))
 
 
+# --- changes, snapshots, policies
+
+
+def _repriced(df: DataFrame) -> DataFrame:
+    return df.where("o_orderkey % 10 != 0").withColumn("o_totalprice", F.when(F.col("o_orderkey") % 7 == 0, F.lit(-1.0)).otherwise(F.col("o_totalprice")))
+
+
+@query(
+    "f8_change_emission",
+    """SELECT o_orderkey, o_totalprice, '-D' AS chg_kind FROM orders WHERE o_orderkey % 10 = 0
+UNION ALL SELECT o_orderkey, o_totalprice, '-U' FROM orders WHERE o_orderkey % 10 != 0 AND o_orderkey % 7 = 0 AND o_totalprice != -1.0
+UNION ALL SELECT o_orderkey, -1.0, '+U' FROM orders WHERE o_orderkey % 10 != 0 AND o_orderkey % 7 = 0 AND o_totalprice != -1.0""",
+)
+def _(spark, d):
+    rows = table(spark, d, "orders").select("o_orderkey", "o_totalprice")
+    return emit_cdc(rows, _repriced(rows), "o_orderkey").select("o_orderkey", "o_totalprice", F.col(KIND).alias("chg_kind"))
+
+
+@query("f9_lookup_join", "SELECT event_id, c_name FROM events JOIN customer ON c_custkey = user_id WHERE event_type = 'purchase'")
+def _(spark, d):
+    delta = table(spark, d, "events").where("event_type = 'purchase'")
+    return lookup_join(delta, table(spark, d, "customer"), {"user_id": "c_custkey"}).select("event_id", "c_name")
+
+
+def _orders_catalog(spark, d) -> tuple[Catalog, int]:
+    """Orders landed, then some deleted and repriced in the inline tier."""
+    cat = Catalog(spark, shared_dir(spark))
+    rows = table(spark, d, "orders").select("o_orderkey", "o_totalprice")
+    cat.create("main.orders", rows.schema, identity="o_orderkey")
+    first = cat.land("main.orders", rows)
+    cat.mutate("main.orders", rows.where("o_orderkey % 10 = 0").withColumn(KIND, F.lit("-D")))
+    cat.mutate("main.orders", _repriced(rows).where("o_orderkey % 7 = 0").withColumn(KIND, F.lit("+U")))
+    return cat, first
+
+
+_AFTER = "SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN -1.0 ELSE o_totalprice END AS o_totalprice FROM orders WHERE o_orderkey % 10 != 0"
+
+
+@query("p2_merge_on_read", _AFTER)
+def _(spark, d):
+    return _orders_catalog(spark, d)[0].scan("main.orders")
+
+
+@query("p3_consolidated", _AFTER)
+def _(spark, d):
+    cat, _ = _orders_catalog(spark, d)
+    cat.consolidate("main.orders")
+    cat.land("main.orders", cat.scan("main.orders").limit(0))
+    cat.compact("main.orders")
+    return cat.scan("main.orders")
+
+
+@query("p4_time_travel", "SELECT o_orderkey, o_totalprice FROM orders")
+def _(spark, d):
+    cat, first = _orders_catalog(spark, d)
+    cat.land("main.orders", cat.scan("main.orders").limit(0), mode="overwrite")
+    return cat.scan("main.orders", cat.as_of(first))
+
+
+@query("p5_file_statistics", "SELECT 'o_orderkey' AS column, count(*) AS rows, CAST(0 AS BIGINT) AS nulls, min(o_orderkey) AS low, max(o_orderkey) AS high FROM orders")
+def _(spark, d):
+    cat = Catalog(spark, shared_dir(spark))
+    cat.land("main.orders", table(spark, d, "orders").repartitionByRange(4, "o_orderkey"))
+    s = cat.statistics("main.orders").where("column = 'o_orderkey'")
+    return s.groupBy("column").agg(F.sum("rows").alias("rows"), F.sum("nulls").alias("nulls"), F.min(F.col("low").cast("long")).alias("low"), F.max(F.col("high").cast("long")).alias("high"))
+
+
+@query("w1_write_policy", "SELECT o_orderkey, coalesce(NOT o_orderstatus = 'P' AND (o_orderpriority IN ('1-URGENT', '2-HIGH') OR o_orderkey < 100), false) AS admitted FROM orders")
+def _(spark, d):
+    policy = A.Policy((A.Not(A.Compare("o_orderstatus", "eq", "P")), A.Or((A.Compare("o_orderpriority", "in", ["1-URGENT", "2-HIGH"]), A.Compare("o_orderkey", "lt", 100)))))
+    return table(spark, d, "orders").select("o_orderkey", F.coalesce(policy.condition(), F.lit(False)).alias("admitted"))
+
+
+@query("w2_governed_view", "SELECT o_orderkey, o_orderpriority FROM orders WHERE o_totalprice > 100000 AND o_orderstatus != 'F'")
+def _(spark, d):
+    eng = engine(spark, d)
+    eng.define_view("large_orders", "orders", "o_totalprice > 100000", ["o_orderkey", "o_orderpriority"])
+    eng.acl.grant("analyst", "large_orders")
+    eng.acl.set_policy("analyst", "large_orders", A.Policy((A.Compare("o_orderstatus", "ne", "F"),)))
+    return eng.sql("analyst", "SELECT * FROM large_orders")
+
+
+@query("l2_run_history", "SELECT CAST(user_id AS VARCHAR) AS run, max(event_id) AS time, bool_or(event_type = 'purchase') AS wrote FROM events GROUP BY user_id")
+def _(spark, d):
+    log = table(spark, d, "events").select(F.col("user_id").cast("string").alias("run"), F.col("event_id").alias("time"), F.lit("complete").alias("state"), F.lit("x").alias("dataset"), F.when(F.col("event_type") == "purchase", "output").otherwise("input").alias("direction"))
+    return runs(log).select("run", "time", "wrote")
+
+
+@query("l3_visible_closure", "WITH RECURSIVE e AS (SELECT DISTINCT 'c' || o_custkey AS u, 'o' || o_orderkey AS v FROM orders WHERE o_orderstatus != 'F'), r AS (SELECT 'c1' AS id, 0 AS depth UNION SELECT v, depth + 1 FROM r JOIN e ON u = id WHERE depth < 3) SELECT id AS dataset, min(depth) AS depth FROM r WHERE depth > 0 GROUP BY id")
+def _(spark, d):
+    o = table(spark, d, "orders")
+    steps = o.select(F.concat(F.lit("c"), "o_custkey").alias("u"), F.concat(F.lit("o"), "o_orderkey").alias("v")).distinct()
+    readable = o.where("o_orderstatus != 'F'").select(F.concat(F.lit("o"), "o_orderkey").alias("dataset")).unionByName(spark.createDataFrame([("c1",)], "dataset string"))
+    return closure(steps, spark.createDataFrame([("c1",)], "dataset string"), 3, readable=readable)
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A page of an analyst's customers with what they spent."""
     return engine(spark, sf_dir).page("analyst", "Customer", size=20, derived=True)

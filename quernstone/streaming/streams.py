@@ -265,6 +265,24 @@ def stream_of(t: ObjectType) -> dict:
     return {"kind": "cdc", "identity": t.identity, "engine": "versioned" if version else "last_row", "version": version}
 
 
-def structured(spark, folder: str, schema: T.StructType):
-    """The files of a stream's folder as a Structured Streaming source."""
+def structured(spark, folder: str, schema: T.StructType) -> DataFrame:
+    """The Parquet files that come into a folder as a streaming DataFrame."""
     return spark.readStream.schema(schema).parquet(folder)
+
+
+def batch_sink(streams: Streams, table: str, name: str, order: list):
+    """A foreachBatch function that appends micro-batches to a log.  The batch
+    number is committed with the rows, so a batch that comes again does nothing."""
+
+    def write(df: DataFrame, batch: int) -> None:
+        def mark(tx):
+            sinks = tx.state.setdefault("sinks", {})
+            if sinks.get(name, -1) >= batch:
+                raise Conflict(f"batch {batch} of {name} is in")
+            sinks[name] = batch
+
+        now = streams.catalog.current()
+        if streams.catalog._version(now.id)["state"].get("sinks", {}).get(name, -1) < batch:
+            streams.append(table, df, order, mark)
+
+    return write

@@ -390,3 +390,46 @@ def test_vector_search(eng, spark):
     for kw, error in (({"index": "none", "query": q}, NoIndex), ({"index": "flat", "query": q[:3]}, DimensionMismatch), ({"index": "flat", "query": q, "nprobe": 2}, Validation)):
         with pytest.raises(error):
             eng.search("u", "Doc", k=5, **kw)
+
+
+def test_memory_sources(spark):
+    from quernstone.sources.arrow import batches, decode_stream, encode_stream
+
+    df = spark.createDataFrame([(1, "a"), (2, None)], "id long, s string")
+    assert sorted(decode_stream(spark, encode_stream(df)).collect()) == sorted(df.collect())
+    with pytest.raises(Validation):
+        decode_stream(spark, b"nonsense")
+    assert batches(spark, "nothing", [], df.schema).columns == ["id", "s"] and spark.table("nothing").count() == 0
+    assert batches(spark, "some", df.toArrow().to_batches()).count() == 2
+
+
+def test_rendering(eng, spark):
+    from quernstone.functions.rendering import ndjson, pairs, tree
+    from quernstone.lineage import binding_events, dataset_of
+
+    assert pairs(eng.association("u", "Person", "boss", seeds={"id": "lt:3"}).collect()) == [{"from": 1, "to": 2}, {"from": 2, "to": 3}]
+    t = tree(eng.tree("u", "Person", "boss", ids=[4], depth=1).collect(), "id")
+    assert t["roots"] == [4] and [(n["id"], n["depth"], n["parent"]) for n in t["nodes"]] == [(4, 0, None), (3, 1, 4)]
+    eng.streams.declare("main.item", T.StructType.fromDDL("id long, v long"), "cdc", 1, "id")
+    eng.registry.define_type(ObjectType("Item", "main.item", (Property("id", "long"), Property("v", "long")), "id"))
+    eng.acl.grant("r", "Item")
+    eng.streams.change("main.item", spark.createDataFrame([(1, 5), (2, 6), (3, 7)], "id long, v long"))
+    lines = list(ndjson(eng, "u", "Item", batch=2))
+    assert len([x for x in lines if "_kind" in x]) == 3 and "cursor" in lines[-1]
+    assert dataset_of("other:x") == ("external", "other:x") and dataset_of("quern:table/a.b") == ("table", "a.b")
+    with pytest.raises(Validation):
+        dataset_of("quern:table/ab")
+    assert len(binding_events(eng.registry.types, {"v": ("a", "", [])}, 0.0)) == 6
+
+
+def test_inline_variants(eng, spark):
+    cat = eng.catalog
+    cat.mutate("main.person", people(spark, [(1, "x", 1, 1)]).selectExpr("*", "'-U' AS _chg_kind"))
+    cat.mutate("main.person", people(spark, [(1, "y", 1, 1)]).selectExpr("*", "'+U' AS _chg_kind"))
+    assert [r.name for r in cat.inline("main.person").collect()] == ["y"]
+    assert cat.inline("main.person", variant="full").count() == 2
+    assert len({r._prec for r in cat.inline("main.person", variant="shadow").collect()}) == 2
+    files = [f["path"] for f in cat.entry("main.person")["files"]]
+    assert cat.file_rows("main.person", files).count() == 4
+    with pytest.raises(Conflict):
+        cat.file_rows("main.person", ["data/none.parquet"])
