@@ -22,9 +22,8 @@ def test_odd_rows(spark, tmp_path):
     same(chat.query(spark, f), chat.SQL, f)
 
 
-def test_against_sql(spark):
-    f = "/root/testdata/sf0.01"
-    same(chat.query(spark, f), chat.SQL, f)
+def test_against_sql(spark, sf):
+    same(chat.query(spark, sf), chat.SQL, sf)
 
 
 def test_empty(spark, tmp_path):

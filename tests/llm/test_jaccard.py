@@ -48,8 +48,8 @@ def test_one_of_each(spark, folder):
     assert {d for d, t in ids if t in ("one two", "one  two")} == {4} and (6, "a b c d e") not in ids
 
 
-def test_against_sql(spark):
-    same(jaccard.query(spark, "/root/testdata/sf0.01"), jaccard.SQL, "/root/testdata/sf0.01")
+def test_against_sql(spark, sf):
+    same(jaccard.query(spark, sf), jaccard.SQL, sf)
 
 
 def test_empty(spark, tmp_path):

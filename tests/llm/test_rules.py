@@ -35,9 +35,8 @@ def test_empty(spark, tmp_path, module):
 
 
 @pytest.mark.parametrize("module", [quality, line_dedup])
-def test_against_sql(spark, module):
-    f = "/root/testdata/sf0.01"
-    same(module.query(spark, f), module.SQL, f)
+def test_against_sql(spark, sf, module):
+    same(module.query(spark, sf), module.SQL, sf)
 
 
 def test_chunks_resume_after_an_insertion():
