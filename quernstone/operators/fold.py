@@ -26,19 +26,22 @@ def strip(df: DataFrame) -> DataFrame:
 def fold(df: DataFrame, identity: str, engine: str = "last_row", version: str | None = None, kind: str = KIND, offset: str = OFFSET) -> DataFrame:
     """The live row of each identity.  last_row: greatest offset; first_row:
     least; versioned: greatest version (nulls last), then offset.  Images before
-    an update don't count.  The aggregate is summed before the shuffle."""
+    an update don't count.  An aggregate picks the winner, so each task sends a
+    row for each identity and no hot identity meets in one task."""
     if engine not in ENGINES:
         raise Validation(f"unknown merge engine {engine}")
-    order = {"last_row": [F.col(offset).desc()], "first_row": [F.col(offset).asc()], "versioned": [F.col(version).desc_nulls_last() if version else F.lit(0), F.col(offset).desc()]}[engine]
+    # nulls are least in a struct's order
+    order = F.struct(F.col(version) if engine == "versioned" and version else F.lit(0), F.col(offset))
+    pick = F.min_by if engine == "first_row" else F.max_by
     rows = df.where(F.col(kind) != "-U")
-    w = Window.partitionBy(identity).orderBy(*order)
-    return rows.withColumn("_rank", F.row_number().over(w)).where("_rank = 1").where(F.col(kind) != "-D").drop("_rank")
+    won = rows.groupBy(F.col(identity).alias("_id")).agg(pick(F.struct(*df.columns), order).alias("_row"))
+    return won.select([F.col(f"_row.{c}").alias(c) for c in df.columns]).where(F.col(kind) != "-D")
 
 
 def precedence_fold(df: DataFrame, identity: str, kind: str = KIND, prec: str = "_prec") -> DataFrame:
     """The row of greatest precedence of each identity; a tombstone hides it."""
-    w = Window.partitionBy(identity).orderBy(F.col(prec).desc())
-    return df.withColumn("_rank", F.row_number().over(w)).where("_rank = 1").where(F.col(kind) != "-D").drop("_rank", kind, prec)
+    won = df.groupBy(F.col(identity).alias("_id")).agg(F.max_by(F.struct(*df.columns), F.col(prec)).alias("_row"))
+    return won.select([F.col(f"_row.{c}").alias(c) for c in df.columns]).where(F.col(kind) != "-D").drop(kind, prec)
 
 
 def ordinal(df: DataFrame, order: list, name: str = "_n") -> DataFrame:

@@ -10,6 +10,7 @@ from ..ontology import Derived
 from .governed import DEFAULT_LIMIT, Context, Governed, governed
 
 PAGE_DEFAULT, PAGE_MAX = 20, 200
+FEW = 10_000  # rows whose keys may go to every task
 
 
 def _aggregate(d: Derived):
@@ -21,10 +22,11 @@ def _aggregate(d: Derived):
     return {"avg": F.avg, "min": F.min, "max": F.max}[d.fn](c)
 
 
-def with_derived(ctx: Context, subject: str, g: Governed, df: DataFrame, at=None) -> tuple[DataFrame, list[str]]:
+def with_derived(ctx: Context, subject: str, g: Governed, df: DataFrame, at=None, few: bool = False) -> tuple[DataFrame, list[str]]:
     """df with the type's derived columns, each aggregated over its link's target
     first and then joined; those whose target, column or link isn't readable are
-    left out.  Rows of a mapping count as often as they stand there."""
+    left out.  Rows of a mapping count as often as they stand there.  few: df is
+    a page, so only what its keys (sent to every task) link to is aggregated."""
     names = []
     grouped: dict[str, list[Derived]] = {}
     for d in g.type.derived:
@@ -42,8 +44,12 @@ def with_derived(ctx: Context, subject: str, g: Governed, df: DataFrame, at=None
         key = link.to_column
         if link.join_table:
             mapping = ctx.table(link.join_table, at).select(F.col(link.join_from).alias("__from"), F.col(link.join_to).alias("__to"))
+            if few:
+                mapping = mapping.join(F.broadcast(df.select(F.col(link.from_column).alias("__own"))), F.col("__from") == F.col("__own"), "left_semi")
             rows = mapping.join(rows, F.col("__to") == F.col(link.to_column))
             key = "__from"
+        elif few:
+            rows = rows.join(F.broadcast(df.select(F.col(link.from_column).alias("__own"))), F.col(key) == F.col("__own"), "left_semi")
         aggs = [_aggregate(Derived(d.name, d.fn, d.link)).alias(d.name) if d.fn == "count" else _over(d) for d in wanted]
         sums = rows.groupBy(F.col(key).alias("__key")).agg(*aggs)
         df = df.join(sums, df[link.from_column] == sums["__key"], "left").drop("__key")
@@ -67,7 +73,7 @@ def select(ctx: Context, subject: str, name: str, filters: dict[str, str] | None
     if limit is not None:
         df = df.orderBy(F.col(g.type.identity).asc_nulls_first()).limit(limit) if g.type.identity in g.filterable else df.limit(limit)
     if derived and g.type.derived:
-        df, more = with_derived(ctx, subject, g, df, at)
+        df, more = with_derived(ctx, subject, g, df, at, few=limit is not None and limit <= FEW)
     return df.select(*g.projection(), *more)
 
 
@@ -94,7 +100,7 @@ def page(ctx: Context, subject: str, name: str, size: int | None = None, cursor=
     df = df.orderBy(F.col(i).asc_nulls_first()).limit(n + 1)
     more: list[str] = []
     if derived and g.type.derived:
-        df, more = with_derived(ctx, subject, g, df, at)
+        df, more = with_derived(ctx, subject, g, df, at, few=True)
         df = df.orderBy(F.col(i).asc_nulls_first())
     return df.select(*g.projection(), *more)
 
