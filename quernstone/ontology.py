@@ -47,12 +47,16 @@ class Derived:
 
 @dataclass(frozen=True)
 class ObjectType:
+    """unique: no two rows of the table have one identity (else traversal keeps
+    one of them)."""
+
     name: str
     table: str
     properties: tuple[Property, ...]
     identity: str | None = None
     derived: tuple[Derived, ...] = ()
     version: str | None = None
+    unique: bool = True
 
     def prop(self, name: str) -> Property | None:
         return next((p for p in self.properties if p.name == name), None)

@@ -29,9 +29,10 @@ def resolve(ctx: Context, source: str, path: list[str]) -> list[Link]:
 
 
 def finish(g: Governed, df: DataFrame, limit: int | None) -> DataFrame:
-    """Final objects: by raw identity below the mask, else distinct visible rows."""
+    """Final objects: by raw identity below the mask, else distinct visible rows.
+    Semi-joins give each row once, so unique identities need no shuffle."""
     if g.type.identity:
-        df = df.dropDuplicates([g.type.identity])
+        df = df if g.type.unique else df.dropDuplicates([g.type.identity])
         if limit is not None:
             df = df.orderBy(F.col(g.type.identity).asc_nulls_first()).limit(limit)
         return df.select(*g.projection())

@@ -433,3 +433,13 @@ def test_inline_variants(eng, spark):
     assert cat.file_rows("main.person", files).count() == 4
     with pytest.raises(Conflict):
         cat.file_rows("main.person", ["data/none.parquet"])
+
+
+def test_repeated_identities(eng, spark):
+    eng.tables["twice"] = people(spark, [(1, "a", 1, 2), (2, "b", 2, 1), (2, "c", 3, 1)])
+    t = eng.registry.type("Person")
+    for unique, want in ((True, [2, 2]), (False, [2])):
+        eng.registry.types["Twice"] = ObjectType("Twice", "twice", t.properties, "id", unique=unique)
+        eng.acl.grant("r", "Twice")
+        eng.registry.links[:] = [Link("boss", "Twice", "Twice", "boss", "id")]
+        assert ids(eng.linked("u", "Twice", ["boss"], ids=[1])) == want
