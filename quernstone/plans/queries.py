@@ -118,20 +118,20 @@ def _(spark, d):
     return engine(spark, d).page("admin", "Order", size=50, cursor="100", filters={"o_totalprice": "gt:1000"})
 
 
-_DERIVED_SQL = """SELECT c.c_custkey, count(o.o_orderkey) AS order_count, round(coalesce(sum(o.o_totalprice), 0), 2) AS total_spend, round(avg(o.o_totalprice), 2) AS avg_spend,
+_DERIVED_SQL = """SELECT c.c_custkey, count(o.o_orderkey) AS order_count, round(coalesce(sum(o.o_totalprice), 0), 2) AS total_spend, round(avg(o.o_totalprice), 8) AS avg_spend,
   min(o.o_totalprice) AS least_spend, max(o.o_totalprice) AS most_spend FROM customer c LEFT JOIN orders o ON o.o_custkey = c.c_custkey {} GROUP BY c.c_custkey"""
 
 
 @query("r8_derived_over_link", _DERIVED_SQL.format(""))
 def _(spark, d):
     df = engine(spark, d).objects("admin", "Customer", derived=True, limit=None)
-    return df.select("c_custkey", "order_count", _r("total_spend"), _r("avg_spend"), "least_spend", "most_spend")
+    return df.select("c_custkey", "order_count", _r("total_spend"), _r("avg_spend", 8), "least_spend", "most_spend")
 
 
 @query("r8b_derived_governed", _DERIVED_SQL.format("AND NOT o.o_orderstatus = 'P'").replace("FROM customer c", "FROM (SELECT * FROM customer WHERE c_mktsegment IN ('BUILDING', 'AUTOMOBILE')) c"))
 def _(spark, d):
     df = engine(spark, d).objects("analyst", "Customer", derived=True, limit=None)
-    return df.select("c_custkey", "order_count", _r("total_spend"), _r("avg_spend"), "least_spend", "most_spend")
+    return df.select("c_custkey", "order_count", _r("total_spend"), _r("avg_spend", 8), "least_spend", "most_spend")
 
 
 @query("r9_derived_over_join_table", "SELECT p_partkey, count(s_suppkey) AS supply_count, round(coalesce(sum(s_acctbal), 0), 2) AS supplier_balance FROM part LEFT JOIN (lineitem JOIN supplier ON l_suppkey = s_suppkey) ON l_partkey = p_partkey GROUP BY p_partkey")
@@ -529,8 +529,9 @@ def _(spark, d):
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A page of an analyst's customers with what they spent."""
-    return engine(spark, sf_dir).page("analyst", "Customer", size=20, derived=True)
+    df = engine(spark, sf_dir).page("analyst", "Customer", size=20, derived=True)
+    return df.withColumns({"total_spend": F.round("total_spend", 2), "avg_spend": F.round("avg_spend", 8)})
 
 
 QUERIES["flagship_page"] = flagship
-SQL["flagship_page"] = "SELECT c_custkey, '***' AS c_name, c_nationkey, c_mktsegment, (SELECT count(*) FROM orders WHERE o_custkey = c_custkey AND o_orderstatus != 'P') AS order_count, (SELECT coalesce(sum(o_totalprice), 0) FROM orders WHERE o_custkey = c_custkey AND o_orderstatus != 'P') AS total_spend, (SELECT avg(o_totalprice) FROM orders WHERE o_custkey = c_custkey AND o_orderstatus != 'P') AS avg_spend, (SELECT min(o_totalprice) FROM orders WHERE o_custkey = c_custkey AND o_orderstatus != 'P') AS least_spend, (SELECT max(o_totalprice) FROM orders WHERE o_custkey = c_custkey AND o_orderstatus != 'P') AS most_spend FROM customer WHERE c_mktsegment IN ('BUILDING', 'AUTOMOBILE') ORDER BY c_custkey LIMIT 21"
+SQL["flagship_page"] = "SELECT c_custkey, '***' AS c_name, c_nationkey, c_mktsegment, (SELECT count(*) FROM orders WHERE o_custkey = c_custkey AND o_orderstatus != 'P') AS order_count, (SELECT round(coalesce(sum(o_totalprice), 0), 2) FROM orders WHERE o_custkey = c_custkey AND o_orderstatus != 'P') AS total_spend, (SELECT round(avg(o_totalprice), 8) FROM orders WHERE o_custkey = c_custkey AND o_orderstatus != 'P') AS avg_spend, (SELECT min(o_totalprice) FROM orders WHERE o_custkey = c_custkey AND o_orderstatus != 'P') AS least_spend, (SELECT max(o_totalprice) FROM orders WHERE o_custkey = c_custkey AND o_orderstatus != 'P') AS most_spend FROM customer WHERE c_mktsegment IN ('BUILDING', 'AUTOMOBILE') ORDER BY c_custkey LIMIT 21"
