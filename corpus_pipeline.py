@@ -45,8 +45,7 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 @shipped
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The token ids of the kept documents, and their decoded bytes, as digests."""
-    ranks = bpe.default_ranks()
-    done = bpe.decode(bpe.encode(docs, ranks), ranks)
+    done = bpe.encode(docs, bpe.default_ranks(), decoded=True)
     return done.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

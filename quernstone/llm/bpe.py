@@ -30,7 +30,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import textnum as X
-from .spark_util import table
+from .spark_util import arrow_map, extend, release, table
 
 BLOCK_BYTES = 1 << 22
 
@@ -228,9 +228,9 @@ def _encode_words(ranks):
     return run
 
 
-def _place(kind: pa.DataType):
-    names = ["doc_id", "n_tokens", "ids"]
-    types = [kind, pa.int64(), pa.binary()]
+def _place(kind: pa.DataType, tokens=None):
+    names = ["doc_id", "n_tokens", "ids"] + ["decoded"] * (tokens is not None)
+    types = [kind, pa.int64(), pa.binary()] + [pa.binary()] * (tokens is not None)
 
     def run(places: pa.Table, words: pa.Table) -> pa.Table:
         done = []
@@ -248,16 +248,40 @@ def _place(kind: pa.DataType):
             codes = unpack_positions(row["positions"])
             ids = ragged(flat, starts[codes], lengths[codes])
             ends = np.concatenate([[0], np.cumsum(lengths[codes])])[np.asarray(row["first"], np.int64)]
-            buf = pa.py_buffer(ids.astype("<u4").tobytes())
-            col = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ends) - 1, [None, pa.py_buffer((ends * 4).astype(np.int64).tobytes()), buf])
-            done.append(pa.table([pa.array(row["doc_ids"], kind), pa.array(np.diff(ends)), col.cast(pa.binary())], names=names))
+            ids = ids.astype("<u4")
+            cols = [pa.array(row["doc_ids"], kind), pa.array(np.diff(ends)), binary_column(ids, ends * 4)]
+            if tokens is not None:
+                cols.append(binary_column(*token_bytes(tokens.value, ids, ends)))
+            done.append(pa.table(cols, names=names))
+        release()
         return pa.concat_tables(done) if done else pa.table([pa.array([], t) for t in types], names=names)
 
     return run
 
 
-def encode(df: DataFrame, ranks: dict[bytes, int], id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """(doc_id, n_tokens long, ids binary): ids as little-endian unsigned 32-bit integers."""
+def binary_column(flat: np.ndarray, ends: np.ndarray) -> pa.Array:
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ends) - 1, [None, pa.py_buffer(ends.astype(np.int64).tobytes()), pa.py_buffer(flat.tobytes())]).cast(pa.binary())
+
+
+def token_table(ranks: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
+    """All tokens' bytes in a row, and each one's length by id."""
+    ordered = sorted(ranks.items(), key=lambda x: x[1])
+    lengths = np.zeros(ordered[-1][1] + 1 if ordered else 0, np.int64)
+    for token, i in ordered:
+        lengths[i] = len(token)
+    return np.frombuffer(b"".join(t for t, _ in ordered), np.uint8), lengths
+
+
+def token_bytes(tokens: tuple[np.ndarray, np.ndarray], ids: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """ids (rows' ends among them) joined with the token-byte table."""
+    flat, length = tokens
+    out = ragged(flat, (np.cumsum(length) - length)[ids], length[ids])
+    return out, np.concatenate([[0], np.cumsum(length[ids])])[ends]
+
+
+def encode(df: DataFrame, ranks: dict[bytes, int], id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES, decoded: bool = False) -> DataFrame:
+    """(doc_id, n_tokens long, ids binary): ids as little-endian unsigned 32-bit
+    integers; decoded adds what decode() makes of them, in the same tasks."""
     spark = df.sparkSession
     shared = spark.sparkContext.broadcast(ranks)  # bounded by the vocabulary
     docs = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -265,36 +289,24 @@ def encode(df: DataFrame, ranks: dict[bytes, int], id_col: str = "doc_id", text_
     kind = pa.string() if sql_kind == "string" else pa.int32() if sql_kind == "int" else pa.int64()
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     buckets = 4 * n
-    words = docs.mapInArrow(_word_rows(block_bytes, buckets), "bucket int, block long, n long, words binary")
-    places = docs.mapInArrow(_position_rows(block_bytes, buckets, kind), f"block long, n_words long, doc_ids array<{sql_kind}>, first array<long>, positions binary")
-    encoded = words.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_encode_words(shared), "block long, bucket int, n long, ids binary")
-    return places.groupBy("block").cogroup(encoded.groupBy("block")).applyInArrow(_place(kind), f"doc_id {sql_kind}, n_tokens long, ids binary")
+    words = arrow_map(docs, _word_rows(block_bytes, buckets), "bucket int, block long, n long, words binary")
+    places = arrow_map(docs, _position_rows(block_bytes, buckets, kind), f"block long, n_words long, doc_ids array<{sql_kind}>, first array<long>, positions binary")
+    encoded = arrow_map(words.repartition(n, "bucket").sortWithinPartitions("bucket"), _encode_words(shared), "block long, bucket int, n long, ids binary")
+    tokens = spark.sparkContext.broadcast(token_table(ranks)) if decoded else None
+    return places.groupBy("block").cogroup(encoded.groupBy("block")).applyInArrow(_place(kind, tokens), f"doc_id {sql_kind}, n_tokens long, ids binary" + ", decoded binary" * decoded)
 
 
 def decode(df: DataFrame, ranks: dict[bytes, int], ids_col: str = "ids") -> DataFrame:
     """df with a column decoded (binary): the bytes of its ids; null ids give none."""
-    ordered = sorted(ranks.items(), key=lambda x: x[1])
-    size = ordered[-1][1] + 1 if ordered else 0
-    lengths = np.zeros(size, np.int64)
-    for token, i in ordered:
-        lengths[i] = len(token)
-    shared = df.sparkSession.sparkContext.broadcast((np.frombuffer(b"".join(t for t, _ in ordered), np.uint8), lengths))
-    place = df.columns.index(ids_col)
+    shared = df.sparkSession.sparkContext.broadcast(token_table(ranks))
 
-    def run(batches):
-        flat, length = shared.value
-        start = np.concatenate([[0], np.cumsum(length)[:-1]]) if len(length) else length
-        for batch in batches:
-            for lo, hi, data, off in X.chunks(batch.column(place), 1 << 22):
-                ids = np.frombuffer(data.tobytes(), "<u4")
-                out = ragged(flat, start[ids], length[ids])
-                ends = np.concatenate([[0], np.cumsum(length[ids])])[off // 4]
-                col = pa.LargeBinaryArray.from_buffers(pa.large_binary(), hi - lo, [None, pa.py_buffer(ends.astype(np.int64).tobytes()), pa.py_buffer(out.tobytes())])
-                part = batch.slice(lo, hi - lo)
-                yield pa.RecordBatch.from_arrays([*part.columns, col.cast(pa.binary())], [*part.schema.names, "decoded"])
+    def run(column):
+        parts = []
+        for _, _, data, off in X.chunks(column, 1 << 22):
+            parts.append(binary_column(*token_bytes(shared.value, np.frombuffer(data.tobytes(), "<u4"), off // 4)))
+        return (pa.concat_arrays(parts) if parts else pa.array([], pa.binary()),)
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + ", decoded binary"
-    return df.mapInArrow(run, schema)
+    return extend(df, ids_col, run, "decoded binary")
 
 
 def default_ranks() -> dict[bytes, int]:
@@ -305,5 +317,5 @@ def default_ranks() -> dict[bytes, int]:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = default_ranks()
-    done = decode(encode(table(spark, sf_dir, "documents"), ranks), ranks)
+    done = encode(table(spark, sf_dir, "documents"), ranks, decoded=True)
     return done.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

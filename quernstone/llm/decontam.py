@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import textnum as X
-from .spark_util import extend, table
+from .spark_util import arrow_map, extend, table
 
 SEED = 3
 RARE, MAX_DF = 8, 50
@@ -214,7 +214,7 @@ def find_leaks(df: DataFrame, benchmark: DataFrame, text_col: str = "text", min_
         rows = sorted((r[0] is None, r[0] or 0, r[1]) for r in real.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == p).collect())
         items = Items([None if n else i for n, i, _ in rows], [t for _, _, t in rows])
         shared = spark.sparkContext.broadcast(items)  # about broadcast_bytes at most
-        counts = df.select(F.col(text_col).cast("string")).mapInArrow(_count_seeds(shared), "seed long, docs long").groupBy("seed").agg(F.sum("docs").alias("docs"))
+        counts = arrow_map(df.select(F.col(text_col).cast("string")), _count_seeds(shared), "seed long, docs long").groupBy("seed").agg(F.sum("docs").alias("docs"))
         df_of_seed = np.zeros(len(items.seeds), np.int64)
         for r in counts.collect():  # one row for each seed of this part
             df_of_seed[r[0]] = r[1]

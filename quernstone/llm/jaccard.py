@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import textnum as X
 from .graph import components
-from .spark_util import cut, table
+from .spark_util import arrow_map, cut, table
 
 K, THRESHOLD = 5, 0.8
 BANDS, ROWS = 40, 6
@@ -212,7 +212,7 @@ def join(df: DataFrame, k: int = K, threshold: float = THRESHOLD, salt: int = 0)
     n_parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     docs = df.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("key"), F.col("text").cast("string").alias("text"))
     docs = docs.select("key", F.xxhash64("text").alias("t"), "text")
-    own = cut(docs.mapInArrow(_sketch(salt.to_bytes(4, "little") if salt else b"", k), "key long, t long, node long, check long, bands array<long>"))
+    own = cut(arrow_map(docs, _sketch(salt.to_bytes(4, "little") if salt else b"", k), "key long, t long, node long, check long, bands array<long>"))
     reps = cut(own.where("node IS NOT NULL").groupBy("node").agg(F.count("*").alias("copies"), F.min("check").alias("c0"), F.max("check").alias("c1"), F.min(F.struct("key", "t")).alias("low"), F.first("bands").alias("bands")))
     if reps.where("c0 != c1").limit(1).count():
         return join(df, k, threshold, salt + 1)
@@ -226,7 +226,7 @@ def join(df: DataFrame, k: int = K, threshold: float = THRESHOLD, salt: int = 0)
     pairs = found.select("root", "own", "node", "copies", "text", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     pairs = pairs.select("root", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "node", "copies", "text")
     tasks = pairs.repartition(n_parts, "root", "lo", "hi").sortWithinPartitions("root", "lo", "hi")
-    links = cut(tasks.mapInArrow(_link_rows(k, threshold), "node long, to long, links long"))
+    links = cut(arrow_map(tasks, _link_rows(k, threshold), "node long, to long, links long"))
     degree = links.groupBy("node").agg(F.sum("links").alias("links"))
     final = components(links.select(F.col("node").alias("a"), F.col("to").alias("b")))
     info = reps.select("node", "copies", "low").join(final, "node", "left").join(degree, "node", "left").withColumn("root", F.coalesce("root", "node"))

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
 from . import textnum as X
-from .spark_util import cut, table
+from .spark_util import arrow_map, cut, table
 
 DIVISOR, LONG, MIN_WORDS = 4, 50, 10
 
@@ -119,7 +119,7 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", salt: i
     docs = df.drop(*[c for c in (*added, "gone", "pieces", "k1", "k2") if c in df.columns])
     key = {"k1": F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))), "k2": F.xxhash64(text_col)}
     keyed = docs.withColumns(key)
-    chunks = keyed.select("k1", "k2", text_col).mapInArrow(_digests(salt.to_bytes(4, "little") if salt else b""), "k1 long, k2 long, idx long, h1 long, h2 long")
+    chunks = arrow_map(keyed.select("k1", "k2", text_col), _digests(salt.to_bytes(4, "little") if salt else b""), "k1 long, k2 long, idx long, h1 long, h2 long")
     chunks = cut(chunks)
     at = F.struct("k1", "k2", "idx")
     again = chunks.groupBy("h1", "h2").agg(F.min(at).alias("least"), F.max(at).alias("most")).where("least < most").drop("most")
@@ -127,7 +127,7 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", salt: i
     met = keyed.join(mine, ["k1", "k2"], "left").drop("k1", "k2")
     fields = [f for f in met.schema.fields if f.name != "gone"]
     more = StructType.fromDDL(MORE + ", pieces array<struct<h1: bigint, h2: bigint, text: binary>>").fields
-    done = cut(met.mapInArrow(_remove(met.columns, text_col), StructType([*fields, *more])))
+    done = cut(arrow_map(met, _remove(met.columns, text_col), StructType([*fields, *more])))
     pieces = done.select(F.inline("pieces"))
     if pieces.groupBy("h1", "h2").agg(F.min("text").alias("a"), F.max("text").alias("b")).where("a != b").limit(1).count():
         return dedup(df, id_col, text_col, salt + 1)

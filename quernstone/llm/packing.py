@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import bpe, textnum as X
-from .spark_util import table
+from .spark_util import arrow_map, table
 
 LENGTH = 2048
 SHARD_BYTES = 16 << 20
@@ -169,9 +169,9 @@ def pack(df: DataFrame, ranks: dict[bytes, int], end: int, length: int = LENGTH,
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(1, -(-total // shard_bytes))
     docs = docs.withColumn("t", F.xxhash64("text")).select(F.pmod(F.xxhash64("doc_id", "t"), F.lit(shards)).alias("shard"), "doc_id", "t", "text")
-    ids = docs.mapInArrow(_ids(spark.sparkContext.broadcast(ranks), width, BLOCK_BYTES), "shard long, doc_id long, t long, ids binary")
+    ids = arrow_map(docs, _ids(spark.sparkContext.broadcast(ranks), width, BLOCK_BYTES), "shard long, doc_id long, t long, ids binary")
     parts = max(shards, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return ids.repartition(parts, "shard").sortWithinPartitions("shard").mapInArrow(_pack(length, end, width), PACKED)
+    return arrow_map(ids.repartition(parts, "shard").sortWithinPartitions("shard"), _pack(length, end, width), PACKED)
 
 
 def position_ids(resets: list[int], length: int) -> np.ndarray:

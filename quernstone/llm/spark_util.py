@@ -15,6 +15,38 @@ def parallelism(spark: SparkSession) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
 
 
+BATCH_ROWS = 4000  # documents in an Arrow batch, where the session has Spark's own 10,000
+
+
+def release() -> None:
+    """Gives memory back that this worker process doesn't need: it stays alive
+    between tasks and shares its executor's memory."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
+
+
+def arrow_map(df: DataFrame, function, schema) -> DataFrame:
+    """df.mapInArrow with batches of a bounded size, tidied up after each task."""
+
+    def run(batches):
+        try:
+            yield from function(batches)
+        finally:
+            release()
+
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if conf.get(name) == "10000":
+        conf.set(name, str(BATCH_ROWS))
+    return df.mapInArrow(run, schema)
+
+
 def extend(df: DataFrame, column: str, function, fields: str) -> DataFrame:
     """df with further columns (fields, as DDL) that function makes from the
     Arrow array of one column, batch by batch; columns of those names go first."""
@@ -29,7 +61,7 @@ def extend(df: DataFrame, column: str, function, fields: str) -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([*batch.columns, *function(batch.column(place))], [*batch.schema.names, *more.names])
 
-    return df.mapInArrow(run, StructType([*df.schema.fields, *more.fields]))
+    return arrow_map(df, run, StructType([*df.schema.fields, *more.fields]))
 
 
 def bounded_sample(df: DataFrame, key: str, limit: int) -> DataFrame:

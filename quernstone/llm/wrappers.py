@@ -33,7 +33,7 @@ import zlib
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .spark_util import cut, parallelism, table
+from .spark_util import arrow_map, cut, parallelism, table
 
 BROADCAST_BYTES = 64 << 20
 SALTS = 16
@@ -381,10 +381,10 @@ def host_of(url: str = "url"):
 def infer(pages: DataFrame) -> DataFrame:
     """(host, wrapper): one expression (JSON) for each host of pages (host, html)."""
     n = parallelism(pages.sparkSession)
-    each = pages.select("host", "html").mapInArrow(_deep(_infer), "host string, wrapper string")
+    each = arrow_map(pages.select("host", "html"), _deep(_infer), "host string, wrapper string")
     salted = each.withColumn("salt", F.pmod(F.xxhash64("wrapper"), F.lit(SALTS)))
-    some = salted.repartition(n, "host", "salt").sortWithinPartitions("host", "salt", "wrapper").select("host", "wrapper").mapInArrow(_merge_sorted, "host string, wrapper string")
-    return some.repartition(n, "host").sortWithinPartitions("host", "wrapper").mapInArrow(_merge_sorted, "host string, wrapper string")
+    some = arrow_map(salted.repartition(n, "host", "salt").sortWithinPartitions("host", "salt", "wrapper").select("host", "wrapper"), _merge_sorted, "host string, wrapper string")
+    return arrow_map(some.repartition(n, "host").sortWithinPartitions("host", "wrapper"), _merge_sorted, "host string, wrapper string")
 
 
 def _extract(batch):
@@ -405,7 +405,7 @@ def extract(df: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     side = F.broadcast(wrappers) if size <= broadcast_bytes else wrappers.hint("merge")
     met = pages.join(side, "host", "left").select("page_id", "url", "html", "wrapper")
     kind = met.schema["page_id"].dataType.simpleString()
-    return met.mapInArrow(_deep(_extract), f"page_id {kind}, url string, text string")
+    return arrow_map(met, _deep(_extract), f"page_id {kind}, url string, text string")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
