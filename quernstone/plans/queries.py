@@ -34,8 +34,14 @@ LINKS = [
 ]
 
 
+_SCHEMAS: dict[str, object] = {}  # by path: a table's footers are read once
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    path = f"{sf_dir}/{name}.parquet"
+    if path not in _SCHEMAS:
+        _SCHEMAS[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_SCHEMAS[path]).parquet(path)
 
 
 def engine(spark: SparkSession, sf_dir: str, warehouse: str | None = None) -> Engine:
