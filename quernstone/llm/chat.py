@@ -23,7 +23,7 @@ its length, and only the formatted text of a conversation is ever gathered.
 Defined results: null texts are empty, null roles too; turns of equal number
 are ordered by role and text (nulls first), repeated rows are turns each; rows
 without a conversation id form one conversation without id; records of an
-unknown layout come back from unmatched(); other columns are ignored; no rows
+unknown layout come back from unmatched(), and the query fails on one; other columns are ignored; no rows
 give no conversation.
 """
 
@@ -69,13 +69,21 @@ MAPPINGS = [
 ]
 
 
+def _is_list(record: Column, k: Column) -> Column:
+    """Whether a record's field k is a JSON list.  A record that makes no variant
+    (too large, a field twice) is asked for the list's first element."""
+    kind = F.schema_of_variant(F.from_json(record, "map<string,variant>")[k])
+    return F.coalesce(kind.startswith("ARRAY"), F.call_function("get_json_object", record, F.concat(F.lit("$['"), k, F.lit("'][0]"))).isNotNull())
+
+
 def paths_of(record: Column) -> Column:
     """Sorted distinct paths of a JSON record: its fields, and the fields of the
-    objects in its lists (a list of nothing has its own path only)."""
+    objects in its lists (a list of nothing has its own path only).  A text that
+    reads like a list is none: the record's own JSON types decide."""
     top = F.from_json(record, "map<string,string>")
     deep = F.flatten(
         F.transform(
-            F.map_entries(F.map_filter(top, lambda k, v: v.startswith("[{"))),
+            F.map_entries(F.map_filter(top, lambda k, v: v.startswith("[{") & _is_list(record, k))),
             lambda e: F.flatten(F.transform(F.from_json(e["value"], "array<map<string,string>>"), lambda m: F.transform(F.coalesce(F.map_keys(m), F.array().cast("array<string>")), lambda k: F.concat(e["key"], F.lit("[]."), k)))),
         )
     )
@@ -117,12 +125,13 @@ def _turns(m: Mapping) -> Column:
     return F.array(F.struct(fields[m.order].cast("long").alias("turn"), role_of(fields[m.role]).alias("role"), fields[m.text].alias("text")))
 
 
-def canonical(records: DataFrame) -> DataFrame:
+def canonical(records: DataFrame, strict: bool = False) -> DataFrame:
     """(conv_id long, turn long, role, text) of records (column record, JSON).
-    The mapping of each record's fingerprint is chosen by one expression."""
+    The mapping of each record's fingerprint is chosen by one expression.
+    strict: a record of an unknown layout is an error, else it gives no turn."""
     fields = F.from_json("f_record", "map<string,string>")
     kind = "array<struct<turn: bigint, role: string, text: string>>"
-    turns = F.lit(None).cast(kind)
+    turns = (F.raise_error(F.concat(F.lit("no mapping stands for the layout of "), F.coalesce(F.substring("f_record", 1, 200), F.lit("null")))) if strict else F.lit(None)).cast(kind)
     for m in MAPPINGS:
         prints = [k for k, of in _known() if of is m]
         turns = F.when(F.col("f_print").isin(prints), _turns(m).cast(kind)).otherwise(turns)
@@ -197,7 +206,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     records = rows.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("record"))
     records = records.unionByName(spark.range(1).select(F.lit(EXTRA).alias("record")))
-    done = read_back(render(canonical(records)))
+    done = read_back(render(canonical(records, strict=True)))
     told = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return done.select(
         "conv_id",

@@ -1,6 +1,7 @@
 import json
 
 import pandas as pd
+import pytest
 
 from quernstone.llm import chat
 from tests.oracle import same
@@ -51,3 +52,16 @@ def test_layouts(spark):
         assert [r.formatted[s.start : s.start + s.length] for s in r.loss_spans] == ["a"]
     assert chat.unmatched(records).count() == 3
     assert "Python" not in chat.canonical(records)._jdf.queryExecution().toString()
+
+
+def test_texts_that_read_like_lists(spark, tmp_path):
+    texts = ['[{"name": "x"}]', "[{broken", '[{"a": 1}, 2]', "[{", '[{"role": "user", "content": "q"}]']
+    f = folder_of(tmp_path, [(i, 0, "assistant", t) for i, t in enumerate(texts)] + [(9, 0, texts[0], "x")])
+    same(chat.query(spark, f), chat.SQL, f)
+    said = [{"conv_id": 1, "prompt": "q", "completion": texts[0]}, {"conv_id": 2, "instruction": texts[1], "output": texts[0]}, {"conv_id": 3, "turn": 0, "role": "user", "text": "[{" + "x" * 17_000_000}]
+    odd = [{"conv_id": 4, "messages": texts[4]}, {"conv_id": 5, "turn": 0, "role": "user", "text": [{"name": "x"}]}]
+    records = spark.createDataFrame([(json.dumps(x),) for x in said + odd], "record string")
+    assert [(r.conv_id, r.text) for r in chat.canonical(records).collect()] == [(1, "q"), (1, texts[0]), (2, texts[1]), (2, texts[0]), (3, said[2]["text"])]
+    assert chat.unmatched(records).count() == 2
+    with pytest.raises(Exception, match="no mapping stands"):
+        chat.canonical(records, strict=True).collect()
