@@ -3,13 +3,16 @@ alignment.
 
 Seeds are the SEED-word windows of the test items (words are runs of letters
 and digits, lower case).  One pass over the documents finds those that hold
-seeds; the documents of each seed are counted over the whole corpus, and for
-each item its RARE rarest seeds count, and all others that MAX_DF documents at
-most have.  Where MIN_SEEDS of these lie in a document, the surrounding
-stretch is aligned with the item word by word (match 2, mismatch -1, gap -1);
-the best local score over the greatest possible one (2 for each word of the
-item) is the similarity, and MIN_SCORE of it makes a leak.  Edited copies keep
-some seeds and lose little score; foreign words between are gaps.
+seeds; the documents of each seed are counted over the whole corpus.  A seed is
+rare if it is among the RARE rarest of its item that occur at all, or if MAX_DF
+documents at most have it.  Where MIN_SEEDS seeds of an item, of any frequency,
+lie in a document, the surrounding stretch is aligned with the item word by word
+(match 2, mismatch -1, gap -1); the best local score over the greatest possible
+one (2 for each word of the item) is the similarity, and MIN_SCORE of it makes a
+leak.  Edited copies keep some seeds and lose little score; foreign words between
+are gaps.  Without MIN_SEEDS rare seeds a stretch is aligned only if an upper
+bound of its score allows a leak, which loses none: rarity decides the work, not
+the result.
 
 The items are a stated query set: their seed table goes to every task if its
 size, measured first, is below BROADCAST_BYTES, else in parts of that size,
@@ -120,6 +123,18 @@ def align(text: np.ndarray, item: np.ndarray) -> tuple[int, int, int]:
     return best, *at
 
 
+def bound(text: np.ndarray, item: np.ndarray) -> int:
+    """No local alignment scores more: a word of the text that the item has is a
+    match at best, any other a mismatch or gap; and no word matches more often
+    than both sides have it."""
+    words, need = np.unique(item, return_counts=True)
+    at = np.minimum(np.searchsorted(words, text), len(words) - 1)
+    known = words[at] == text
+    have = np.bincount(at[known], minlength=len(words))
+    total = np.concatenate([[0], np.cumsum(np.where(known, MATCH, max(MISMATCH, GAP)))])
+    return int(min((total - np.minimum.accumulate(total)).max(), MATCH * np.minimum(need, have).sum()))
+
+
 def stretches(places: np.ndarray, length: int, n: int) -> list[tuple[int, int]]:
     """The parts of a text of n words around seeds that an alignment with an
     item of that length can reach, overlapping ones as one."""
@@ -137,8 +152,8 @@ def stretches(places: np.ndarray, length: int, n: int) -> list[tuple[int, int]]:
 LEAK = pa.list_(pa.struct([("item_id", pa.int64()), ("score", pa.float64()), ("start_word", pa.int64()), ("end_word", pa.int64())]))
 
 
-def leaks_of(items: Items, allowed: np.ndarray, column, min_score: float = MIN_SCORE) -> list[list[dict]]:
-    """The leaks of each text; allowed: pairs (seed, owner) that may start an alignment."""
+def leaks_of(items: Items, rare: np.ndarray, column, min_score: float = MIN_SCORE) -> list[list[dict]]:
+    """The leaks of each text; rare: pairs (seed, owner) that start an alignment unbounded."""
     out: list[list[dict]] = []
     for lo, hi, h, first in item_words(column):
         s, at, start = X.shingles(h, first, items.k, whole=True)
@@ -148,24 +163,25 @@ def leaks_of(items: Items, allowed: np.ndarray, column, min_score: float = MIN_S
             count = np.diff(items.first)[seed]
             pair = np.repeat(items.first[seed], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
             place = np.repeat(at[hit], count)
-            ok = allowed[pair]
-            pair, place = pair[ok], place[ok]
             row = np.searchsorted(first, place, "right") - 1
             who = items.owner[pair]
             order = np.lexsort((place, who, row))
-            row, who, place = row[order], who[order], place[order]
+            row, who, place, few = row[order], who[order], place[order], rare[pair[order]]
             edge = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (who[1:] != who[:-1])])) if len(row) else []
             for a, b in zip(edge, [*edge[1:], len(row)]):
                 r, i = int(row[a]), int(who[a])
-                if b - a < min(MIN_SEEDS, items.count[i]):
+                enough = min(MIN_SEEDS, items.count[i])
+                if b - a < enough:
                     continue
                 item, text = items.words[i], h[first[r] : first[r + 1]]
-                best = (0, 0, 0)
+                sure, least, best = few[a:b].sum() >= enough, min_score * MATCH * len(item), (0, 0, 0)
                 for x, y in stretches(place[a:b] - first[r], len(item), len(text)):
+                    if not sure and bound(text[x:y], item) < least:
+                        continue
                     sc, u, v = align(text[x:y], item)
                     if sc > best[0]:
                         best = (sc, x + u, x + v)
-                if best[0] >= min_score * MATCH * len(item):
+                if best[0] >= least:
                     found[r].append({"item_id": items.ids[i], "score": best[0] / (MATCH * len(item)), "start_word": best[1], "end_word": best[2]})
         out += found
     return out
@@ -190,11 +206,11 @@ def _count_seeds(shared):
 
 
 def rare_pairs(items: Items, df_of_seed: np.ndarray, rare: int = RARE, max_df: int = MAX_DF) -> np.ndarray:
-    """Which (seed, item) pairs may start an alignment: each item's rarest ones
-    and all that few documents have."""
+    """Which (seed, item) pairs are rare: each item's rarest ones that occur and
+    all that few documents have."""
     seed_of = np.repeat(np.arange(len(items.seeds)), np.diff(items.first))
     df = df_of_seed[seed_of]
-    order = np.lexsort((seed_of, df, items.owner))
+    order = np.lexsort((seed_of, df, df == 0, items.owner))  # seeds of no document last
     rank = np.empty(len(order), np.int64)
     own = items.owner[order]
     begin = np.concatenate([[True], own[1:] != own[:-1]]) if len(own) else np.zeros(0, bool)
@@ -218,11 +234,11 @@ def find_leaks(df: DataFrame, benchmark: DataFrame, text_col: str = "text", min_
         df_of_seed = np.zeros(len(items.seeds), np.int64)
         for r in counts.collect():  # one row for each seed of this part
             df_of_seed[r[0]] = r[1]
-        allowed = spark.sparkContext.broadcast(rare_pairs(items, df_of_seed))
+        rare = spark.sparkContext.broadcast(rare_pairs(items, df_of_seed))
         name = "leaks" if parts == 1 else f"leaks_{p}"
 
-        def run(column, shared=shared, allowed=allowed):
-            return (pa.array(leaks_of(shared.value, allowed.value, column, min_score), LEAK),)
+        def run(column, shared=shared, rare=rare):
+            return (pa.array(leaks_of(shared.value, rare.value, column, min_score), LEAK),)
 
         out = extend(out, text_col, run, f"{name} array<struct<item_id: bigint, score: double, start_word: bigint, end_word: bigint>>")
         names.append(name)

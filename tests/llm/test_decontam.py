@@ -73,3 +73,25 @@ def test_empty(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert [r.leaks for r in D.find_leaks(df, none).collect()] == [[]]
     assert D.find_leaks(df.limit(0), none).count() == 0
+
+
+def test_bound():
+    rnd = random.Random(6)
+    for _ in range(300):
+        text = np.array([rnd.randrange(8) for _ in range(rnd.randrange(1, 30))], X.U64)
+        item = np.array([rnd.randrange(5) for _ in range(rnd.randrange(1, 12))], X.U64)
+        assert D.align(text, item)[0] <= D.bound(text, item)
+
+
+def test_many_copies_of_an_edited_passage(spark):
+    """Edits of all copies destroy seeds, and what is left of them is frequent."""
+    rnd = random.Random(11)
+    word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(6))
+    item = [word() for _ in range(40)]
+    edited = [word() if i in (6, 14, 22, 30) else w for i, w in enumerate(item)]
+    docs = [(d, " ".join([word() for _ in range(20)] + edited + [word() for _ in range(20)])) for d in range(D.MAX_DF + 10)]
+    common = [(1000 + d, " ".join(item[:4] + [word() for _ in range(60)])) for d in range(D.MAX_DF + 10)]
+    df = spark.createDataFrame(docs + common, "doc_id long, text string")
+    bench = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    got = {r.doc_id: [x.item_id for x in r.leaks] for r in D.find_leaks(df, bench).collect()}
+    assert got == {**{d: [1] for d, _ in docs}, **{d: [] for d, _ in common}}
