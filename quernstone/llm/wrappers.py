@@ -64,7 +64,7 @@ def label_of(tag: str, attrs: str) -> str:
     parts = tag
     for name, sign in (("class", "."), ("id", "#"), ("role", "@")):
         if out.get(name):
-            parts += sign + " ".join(re.sub(r"\d+", "0", out[name].lower()).split())[:60]
+            parts += sign + " ".join(re.sub(r"\d+", "0", out[name].lower()).split())
     if "hidden" in out or out.get("aria-hidden", "").lower() == "true" or "display:none" in out.get("style", "").replace(" ", "").lower():
         parts += "!hidden"
     return parts
@@ -211,10 +211,7 @@ def fold(seq: list) -> list:
     return out
 
 
-DEPTH = 60  # block tags nested deeper than that are no part of an expression
-
-
-def expression(node: list, depth: int = DEPTH) -> list:
+def expression(node: list) -> list:
     """A page's own expression."""
     seq = []
     for c in node[1]:
@@ -222,19 +219,69 @@ def expression(node: list, depth: int = DEPTH) -> list:
             if not c.isspace() and c:
                 seq.append(["#", zlib.crc32(c.strip().encode("utf-8", "replace"))])
         else:
-            seq.append(["t", c[0], expression(c, depth - 1)[2] if depth > 0 else []])
+            seq.append(["t", c[0], expression(c)[2]])
     return ["t", node[0], fold(seq)]
 
 
 def shape(e) -> str:
     """The expression written as a regular expression."""
-    if e[0] == "#":
-        return "TEXT" if e[1] is None else "CONST"
-    if e[0] == "t":
-        return f"<{e[1]}>" + " ".join(shape(x) for x in e[2]) + "</>"
-    if e[0] == "g":
-        return "(" + " ".join(shape(x) for x in e[1]) + ")"
-    return f"({shape(e[1])}){e[0]}"
+    out, todo = [], [e]
+    while todo:
+        x = todo.pop()
+        if isinstance(x, str):
+            out.append(x)
+        elif x[0] == "#":
+            out.append("TEXT" if x[1] is None else "CONST")
+        elif x[0] in "+?":
+            out.append("(")
+            todo += [")" + x[0], x[1]]
+        else:
+            begin, end, parts = (f"<{x[1]}>", "</>", x[2]) if x[0] == "t" else ("(", ")", x[1])
+            out.append(begin)
+            todo.append(end)
+            for k, y in enumerate(reversed(parts)):
+                todo += [" ", y] if k else [y]
+    return "".join(out)
+
+
+def dumps(e) -> str:
+    """The expression as JSON, however deep it is."""
+    try:
+        return json.dumps(e, separators=(",", ":"))
+    except RecursionError:
+        pass
+    out, todo = [], [(e, "")]
+    while todo:
+        x, after = todo.pop()
+        if isinstance(x, list) and x:
+            out.append("[")
+            todo.append((None, "]" + after))
+            todo += [(y, "," if k else "") for k, y in enumerate(reversed(x))]
+        else:
+            out.append(after if x is None and after[:1] == "]" else json.dumps(x) + after)
+    return "".join(out)
+
+
+_JSON = re.compile(r'[\[\]]|"(?:[^"\\]|\\.)*"|[^\[\],"\s]+')
+
+
+def loads(text: str):
+    """dumps() read back."""
+    try:
+        return json.loads(text)
+    except RecursionError:
+        pass
+    stack: list[list] = [[]]
+    for m in _JSON.finditer(text):
+        t = m.group()
+        if t == "[":
+            stack.append([])
+        elif t == "]":
+            done = stack.pop()
+            stack[-1].append(done)
+        else:
+            stack[-1].append(json.loads(t))
+    return stack[0][0]
 
 
 def main_labels(wrapper: list) -> list[str]:
@@ -346,7 +393,7 @@ def _merged(rows) -> dict[str, list]:
 
 
 def _as_batch(hosts: dict[str, list]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(list(hosts), pa.string()), pa.array([json.dumps(e, separators=(",", ":")) for e in hosts.values()], pa.string())], ["host", "wrapper"])
+    return pa.RecordBatch.from_arrays([pa.array(list(hosts), pa.string()), pa.array([dumps(e) for e in hosts.values()], pa.string())], ["host", "wrapper"])
 
 
 def _infer(batch):
@@ -360,10 +407,13 @@ def _infer(batch):
 
 
 def _merge_sorted(batches):
+    import sys
+
+    sys.setrecursionlimit(1_000_000)  # merge() and align() go as deep as the pages
     at, have = None, None
     for batch in batches:
         for host, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            e = json.loads(text)
+            e = loads(text)
             if host != at:
                 if have is not None:
                     yield _as_batch({at: have})
@@ -392,7 +442,7 @@ def _extract(batch):
     out = []
     for page, wrapper in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
         if wrapper not in labels:
-            labels[wrapper] = main_labels(json.loads(wrapper)) if wrapper else []
+            labels[wrapper] = main_labels(loads(wrapper)) if wrapper else []
         out.append(text_of(parse(page), labels[wrapper]) if page else "")
     return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.string())], ["page_id", "url", "text"])
 

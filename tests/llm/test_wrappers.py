@@ -95,3 +95,34 @@ def test_pages(spark, sf):
     real = {r.page_id: r.html for r in spark.read.parquet(f"{sf}/pages.parquet").collect()}
     for r in W.query(spark, sf).collect():
         assert r.text == "\n".join(Plain(real[r.page_id]).blocks) and r.n_chars == len(r.text)
+
+
+def test_names_at_any_place_of_a_long_class_list():
+    long = " ".join(f"utility-class-{c * 5}" for c in "abcdef")
+    html = f'<article><p>kept</p><div class="{long} comments">first!</div><div class="{long[:53]} commentary">said</div></article>'
+    assert W.text_of(W.parse(html), ["article"]) == "kept\nsaid"
+    tree = W.parse(f'<div>out</div><div class="{long} entry">in</div>')
+    assert W.text_of(tree, W.main_labels(W.expression(tree))) == "in"
+
+
+def test_regions_at_any_depth(spark):
+    def nested(i, depth):
+        return "<html><body><p>out</p>" + "<div>" * depth + f"<article><p>in {i}</p></article>" + "</div>" * depth + "</body></html>"
+
+    rows = [(i, f"http://h{i % 2}/{i}", nested(i, 100 if i % 2 else 20_000)) for i in range(6)]
+    got = {r.page_id: r.text for r in W.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"in {i}" for i in range(6)}
+
+
+def test_expressions_as_json():
+    e = ["t", 'a"],[\\', [["?", ["#", None]], ["+", ["g", [["#", 7], ["t", "é [", []]]]]]]
+    deep = e
+    for _ in range(30_000):
+        deep = ["t", "div", [["#", 3], deep, ["#", None]]]
+    text = W.dumps(deep)
+    back = W.loads(text)
+    assert W.loads(W.dumps(e)) == e and W.dumps(back) == text
+    for _ in range(30_000):
+        assert back[2][0] == ["#", 3] and back[2][2] == ["#", None]
+        back = back[2][1]
+    assert back == e
