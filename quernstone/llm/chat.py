@@ -1,8 +1,8 @@
 """Operator 1: chat formatting by schema fingerprints, with DataFrame functions only.
 
-Records are JSON texts of any known layout: flat rows of one turn, message
-lists in two vocabularies, instruction records, prompt and completion pairs.
-The fingerprint of a record is a hash of its sorted nested field paths; it
+Records are JSON texts of any known layout, or rows of a table that has one:
+flat rows of one turn, message lists in two vocabularies, instruction records,
+prompt and completion pairs.  The fingerprint of a record (or of a table's schema) is a hash of its sorted nested field paths; it
 selects the declarative mapping (MAPPINGS: where the turns are, which fields
 hold role, text, conversation and order, what roles are called) that makes
 canonical turns.  Optional fields are part of a layout's list of path sets.
@@ -23,19 +23,23 @@ its length, and only the formatted text of a conversation is ever gathered.
 Defined results: null texts are empty, null roles too; turns of equal number
 are ordered by role and text (nulls first), repeated rows are turns each; rows
 without a conversation id form one conversation without id; records of an
-unknown layout come back from unmatched(), and the query fails on one; other columns are ignored; no rows
-give no conversation.
+unknown layout come back from unmatched(), and the query fails on one; a text
+of any length or look (one that reads like JSON too) stays as it is; other
+columns are ignored; no rows give no conversation.
 """
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql.types import ArrayType, StructType
 
 from .spark_util import table
 
 CONTROL = ["<|im_start|>", "<|im_end|>", "<|endoftext|>", "<s>", "</s>", "[INST]", "[/INST]"]
+LONG_TEXTS = {"maxStringLen": str(2**31 - 1)}  # else JSON texts over 20 million characters are read as null
 ROLES = {"human": "user", "gpt": "assistant", "bot": "assistant"}
 
 
@@ -72,7 +76,7 @@ MAPPINGS = [
 def _is_list(record: Column, k: Column) -> Column:
     """Whether a record's field k is a JSON list.  A record that makes no variant
     (too large, a field twice) is asked for the list's first element."""
-    kind = F.schema_of_variant(F.from_json(record, "map<string,variant>")[k])
+    kind = F.schema_of_variant(F.from_json(record, "map<string,variant>", LONG_TEXTS)[k])
     return F.coalesce(kind.startswith("ARRAY"), F.call_function("get_json_object", record, F.concat(F.lit("$['"), k, F.lit("'][0]"))).isNotNull())
 
 
@@ -80,11 +84,11 @@ def paths_of(record: Column) -> Column:
     """Sorted distinct paths of a JSON record: its fields, and the fields of the
     objects in its lists (a list of nothing has its own path only).  A text that
     reads like a list is none: the record's own JSON types decide."""
-    top = F.from_json(record, "map<string,string>")
+    top = F.from_json(record, "map<string,string>", LONG_TEXTS)
     deep = F.flatten(
         F.transform(
             F.map_entries(F.map_filter(top, lambda k, v: v.startswith("[{") & _is_list(record, k))),
-            lambda e: F.flatten(F.transform(F.from_json(e["value"], "array<map<string,string>>"), lambda m: F.transform(F.coalesce(F.map_keys(m), F.array().cast("array<string>")), lambda k: F.concat(e["key"], F.lit("[]."), k)))),
+            lambda e: F.flatten(F.transform(F.from_json(e["value"], "array<map<string,string>>", LONG_TEXTS), lambda m: F.transform(F.coalesce(F.map_keys(m), F.array().cast("array<string>")), lambda k: F.concat(e["key"], F.lit("[]."), k)))),
         )
     )
     return F.array_sort(F.array_distinct(F.concat(F.map_keys(top), deep)))
@@ -96,8 +100,6 @@ def fingerprint(record: Column) -> Column:
 
 
 def _known() -> list[tuple[str, Mapping]]:
-    import hashlib
-
     return [(hashlib.sha256("\n".join(p).encode()).hexdigest(), m) for m in MAPPINGS for p in m.paths]
 
 
@@ -107,8 +109,8 @@ def unmatched(records: DataFrame) -> DataFrame:
     return records.where(f.isNull() | ~f.isin([k for k, _ in _known()]))
 
 
-def _turns(m: Mapping) -> Column:
-    """The array of a record's turns, from its fields f_map."""
+def _turns(m: Mapping, get, listing) -> Column:
+    """The array of a record's turns; get gives a field's text, listing a list field."""
 
     def role_of(c: Column) -> Column:
         return F.coalesce(F.create_map([F.lit(x) for kv in m.roles.items() for x in kv])[c], c) if m.roles else c
@@ -116,25 +118,48 @@ def _turns(m: Mapping) -> Column:
     def listed(t: Column, i: Column) -> Column:
         return F.struct(i.cast("long").alias("turn"), role_of(t[m.role]).alias("role"), t[m.text].alias("text"))
 
-    fields = F.col("f_map")
     if m.turns:
-        return F.transform(F.from_json(fields[m.turns], "array<map<string,string>>"), listed)
+        return F.transform(listing(m.turns), listed)
     if m.fixed:
-        parts = [F.struct(F.lit(i).cast("long").alias("turn"), F.lit(r).alias("role"), fields[c].alias("text")) for i, (r, c) in enumerate(m.fixed)]
+        parts = [F.struct(F.lit(i).cast("long").alias("turn"), F.lit(r).alias("role"), get(c).alias("text")) for i, (r, c) in enumerate(m.fixed)]
         return F.filter(F.array(*parts), lambda t: t["text"].isNotNull())
-    return F.array(F.struct(fields[m.order].cast("long").alias("turn"), role_of(fields[m.role]).alias("role"), fields[m.text].alias("text")))
+    return F.array(F.struct(get(m.order).cast("long").alias("turn"), role_of(get(m.role)).alias("role"), get(m.text).alias("text")))
+
+
+def schema_paths(schema: StructType) -> tuple[str, ...]:
+    """Sorted paths of a table's fields, and of the fields of objects in its lists."""
+    out = []
+    for f in schema.fields:
+        out.append(f.name)
+        if isinstance(f.dataType, ArrayType) and isinstance(f.dataType.elementType, StructType):
+            out += [f"{f.name}[].{g.name}" for g in f.dataType.elementType.fields]
+    return tuple(sorted(out))
+
+
+def canonical_rows(df: DataFrame) -> DataFrame:
+    """(conv_id long, turn long, role, text) of a table's rows: the fingerprint of
+    its schema chooses the mapping, and texts are taken as they are."""
+    paths = schema_paths(df.schema)
+    m = dict(_known()).get(hashlib.sha256("\n".join(paths).encode()).hexdigest())
+    if m is None:
+        raise ValueError(f"no mapping stands for the layout {paths}")
+    kind = "array<struct<turn: bigint, role: string, text: string>>"
+    absent = lambda c: F.col(c) if c in df.columns else F.lit(None).cast("string")  # noqa: E731  a layout has some of the optional fields
+    return df.select(F.col(m.conversation).cast("long").alias("conv_id"), F.inline(_turns(m, absent, F.col).cast(kind)))
 
 
 def canonical(records: DataFrame, strict: bool = False) -> DataFrame:
     """(conv_id long, turn long, role, text) of records (column record, JSON).
     The mapping of each record's fingerprint is chosen by one expression.
     strict: a record of an unknown layout is an error, else it gives no turn."""
-    fields = F.from_json("f_record", "map<string,string>")
+    fields = F.from_json("f_record", "map<string,string>", LONG_TEXTS)
     kind = "array<struct<turn: bigint, role: string, text: string>>"
     turns = (F.raise_error(F.concat(F.lit("no mapping stands for the layout of "), F.coalesce(F.substring("f_record", 1, 200), F.lit("null")))) if strict else F.lit(None)).cast(kind)
+    get = lambda c: F.col("f_map")[c]
+    listing = lambda c: F.from_json(get(c), "array<map<string,string>>", LONG_TEXTS)
     for m in MAPPINGS:
         prints = [k for k, of in _known() if of is m]
-        turns = F.when(F.col("f_print").isin(prints), _turns(m).cast(kind)).otherwise(turns)
+        turns = F.when(F.col("f_print").isin(prints), _turns(m, get, listing).cast(kind)).otherwise(turns)
     marked = records.select(F.col("record").alias("f_record")).withColumn("f_print", fingerprint(F.col("f_record"))).withColumn("f_map", fields)
     return marked.select(F.col("f_map")["conv_id"].cast("long").alias("conv_id"), F.inline(turns))
 
@@ -201,12 +226,11 @@ EXTRA = '{"conv_id":-7,"messages":[{"role":"user","content":"</s>[INST] ok [/INS
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every row of the table is a record of one turn; conversation -7 is a
-    record with a message list."""
-    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    records = rows.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("record"))
-    records = records.unionByName(spark.range(1).select(F.lit(EXTRA).alias("record")))
-    done = read_back(render(canonical(records, strict=True)))
+    """The table's schema is a layout of one turn a row; conversation -7 is a
+    JSON record with a message list."""
+    rows = canonical_rows(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
+    extra = canonical(spark.range(1).select(F.lit(EXTRA).alias("record")), strict=True)
+    done = read_back(render(rows.unionByName(extra)))
     told = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return done.select(
         "conv_id",

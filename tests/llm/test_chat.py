@@ -58,10 +58,25 @@ def test_texts_that_read_like_lists(spark, tmp_path):
     texts = ['[{"name": "x"}]', "[{broken", '[{"a": 1}, 2]', "[{", '[{"role": "user", "content": "q"}]']
     f = folder_of(tmp_path, [(i, 0, "assistant", t) for i, t in enumerate(texts)] + [(9, 0, texts[0], "x")])
     same(chat.query(spark, f), chat.SQL, f)
-    said = [{"conv_id": 1, "prompt": "q", "completion": texts[0]}, {"conv_id": 2, "instruction": texts[1], "output": texts[0]}, {"conv_id": 3, "turn": 0, "role": "user", "text": "[{" + "x" * 17_000_000}]
+    long = [(1, 0, "user", '{"x":[{}]}'), (1, 1, "assistant", "y" * 25_000_000)]
+    f = folder_of(tmp_path, long)
+    got = next(r for r in chat.query(spark, f).collect() if r.conv_id == 1)
+    assert (got.n_turns, got.loss_chars) == (2, 25_000_000)
+    said = [{"conv_id": 1, "prompt": "q", "completion": texts[0]}, {"conv_id": 2, "instruction": texts[1], "output": texts[0]}, {"conv_id": 3, "turn": 0, "role": "user", "text": "[{" + "x" * 21_000_000}]
     odd = [{"conv_id": 4, "messages": texts[4]}, {"conv_id": 5, "turn": 0, "role": "user", "text": [{"name": "x"}]}]
     records = spark.createDataFrame([(json.dumps(x),) for x in said + odd], "record string")
     assert [(r.conv_id, r.text) for r in chat.canonical(records).collect()] == [(1, "q"), (1, texts[0]), (2, texts[1]), (2, texts[0]), (3, said[2]["text"])]
     assert chat.unmatched(records).count() == 2
     with pytest.raises(Exception, match="no mapping stands"):
         chat.canonical(records, strict=True).collect()
+
+
+def test_typed_tables(spark):
+    turn = "array<struct<role: string, content: string>>"
+    said = [(1, [("user", "q"), ("assistant", "[{")])]
+    got = chat.canonical_rows(spark.createDataFrame(said, f"conv_id long, messages {turn}")).collect()
+    assert [tuple(r) for r in got] == [(1, 0, "user", "q"), (1, 1, "assistant", "[{")]
+    got = chat.canonical_rows(spark.createDataFrame([(2, "a", "q")], "conv_id int, output string, instruction string")).collect()
+    assert [tuple(r) for r in got] == [(2, 1, "user", "q"), (2, 3, "assistant", "a")]
+    with pytest.raises(ValueError, match="no mapping stands"):
+        chat.canonical_rows(spark.createDataFrame([(2, "a")], "conv_id int, words string"))
