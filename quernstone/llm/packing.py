@@ -4,9 +4,11 @@ Whole documents become ids (each distinct word of a block is encoded once),
 with an end token each.  A document longer than a row is split into full rows
 and a rest, so nothing is lost; the pieces of a shard are placed longest first,
 each into the fullest row that still has room, which a segment tree over the
-capacities finds in log(length) steps.  Shards of about SHARD_BYTES of text are
-made by a hash of document and text, so each is one bounded task, all rows of a
-source or group of copies are spread, and results don't depend on the order.
+capacities finds in log(length) steps.  A shard is a stretch of about SHARD_BYTES
+of text of an input partition, packed where it is read: nothing is shuffled, so
+no source, repeated row or group of copies can gather anywhere.  Which documents
+share a row follows from the input's files and splits; a task that runs again
+packs the same.
 
 A packed row: ids (binary matrix row of `length` little-endian numbers of
 `width` bytes, filled up with the end token), cu_seqlens (0, then the ends of
@@ -86,9 +88,8 @@ def width_of(top: int) -> int:
     return 2 if top < 1 << 16 else 4
 
 
-def _ids(shared, width: int, limit: int):
-    """Rows (shard, doc_id, t, text) to (shard, doc_id, t, ids)."""
-    names = ["shard", "doc_id", "t", "ids"]
+def _pack(shared, length: int, end: int, width: int, shard_bytes: int):
+    """Rows (doc_id, text) to the columns of PACKED."""
     state: dict = {}
 
     def encoder():
@@ -101,18 +102,25 @@ def _ids(shared, width: int, limit: int):
         return state["one"]
 
     def run(batches):
-        one = encoder()
+        from pyspark import TaskContext
+
+        one, part = encoder(), TaskContext.get().partitionId()
+        docs, size, number = [], 0, 0
         for batch in batches:
-            for lo, hi, data, off in X.chunks(batch.column(3), limit):
+            for lo, hi, data, off in X.chunks(batch.column(1), min(BLOCK_BYTES, shard_bytes)):
                 words, _, codes, first = bpe.block_words(data, off, 1)
                 lists = [one(w.decode()) for w in words]
                 lengths = np.array([len(x) for x in lists], np.int64)
                 flat = np.array([i for x in lists for i in x], f"<u{width}")
-                ids = bpe.ragged(flat, (np.cumsum(lengths) - lengths)[codes], lengths[codes])
-                ends = np.concatenate([[0], np.cumsum(lengths[codes])])[first] * width
-                col = pa.LargeBinaryArray.from_buffers(pa.large_binary(), hi - lo, [None, pa.py_buffer(ends.astype(np.int64).tobytes()), pa.py_buffer(ids.tobytes())])
-                part = batch.slice(lo, hi - lo)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), col.cast(pa.binary())], names)
+                ids = bpe.ragged(flat, (np.cumsum(lengths) - lengths)[codes], lengths[codes]).tobytes()
+                ends = (np.concatenate([[0], np.cumsum(lengths[codes])])[first] * width).tolist()
+                docs += [(d, ids[a:b]) for d, a, b in zip(batch.column(0).slice(lo, hi - lo).to_pylist(), ends, ends[1:])]
+                size += len(data)
+                if size >= shard_bytes:
+                    yield pack_shard((part << 32) + number, docs, length, end, width)
+                    docs, size, number = [], 0, number + 1
+        if docs:
+            yield pack_shard((part << 32) + number, docs, length, end, width)
 
     return run
 
@@ -121,11 +129,11 @@ PACKED = "shard long, row int, n_tokens int, ids binary, cu_seqlens array<int>,
 
 
 def pack_shard(shard: int, docs: list[tuple], length: int, end: int, width: int) -> pa.RecordBatch:
-    """docs: (doc_id, t, ids) of one shard, in any order."""
-    docs = sorted(docs, key=lambda d: (d[0] is None, d[0] or 0, d[1], d[2]))
+    """docs: (doc_id, ids) of one shard, in any order."""
+    docs = sorted(docs, key=lambda d: (d[0] is None, d[0] or 0, d[1]))
     items = []  # document, piece, first token, tokens
     arrays = []
-    for i, (_, _, raw) in enumerate(docs):
+    for i, (_, raw) in enumerate(docs):
         ids = np.append(np.frombuffer(raw, f"<u{width}"), np.array(end, f"<u{width}"))
         arrays.append(ids)
         items += [(i, k, a, min(length, len(ids) - a)) for k, a in enumerate(range(0, len(ids), length))]
@@ -145,33 +153,11 @@ def pack_shard(shard: int, docs: list[tuple], length: int, end: int, width: int)
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], ["shard", "row", "n_tokens", "ids", "cu_seqlens", "resets", "doc_ids", "pieces"])
 
 
-def _pack(length: int, end: int, width: int):
-    def run(batches):
-        at, docs = None, []
-        for batch in batches:
-            for shard, doc, t, ids in zip(*(c.to_pylist() for c in batch.columns)):
-                if shard != at:
-                    if docs:
-                        yield pack_shard(at, docs, length, end, width)
-                    at, docs = shard, []
-                docs.append((doc, t, ids))
-        if docs:
-            yield pack_shard(at, docs, length, end, width)
-
-    return run
-
-
 def pack(df: DataFrame, ranks: dict[bytes, int], end: int, length: int = LENGTH, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """The columns of PACKED; ids of end + 1 kinds at most."""
-    spark = df.sparkSession
-    width = width_of(end)
     docs = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    shards = max(1, -(-total // shard_bytes))
-    docs = docs.withColumn("t", F.xxhash64("text")).select(F.pmod(F.xxhash64("doc_id", "t"), F.lit(shards)).alias("shard"), "doc_id", "t", "text")
-    ids = arrow_map(docs, _ids(spark.sparkContext.broadcast(ranks), width, BLOCK_BYTES), "shard long, doc_id long, t long, ids binary")
-    parts = max(shards, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return arrow_map(ids.repartition(parts, "shard").sortWithinPartitions("shard"), _pack(length, end, width), PACKED)
+    shared = df.sparkSession.sparkContext.broadcast(ranks)  # bounded by the vocabulary
+    return arrow_map(docs, _pack(shared, length, end, width_of(end), shard_bytes), PACKED)
 
 
 def position_ids(resets: list[int], length: int) -> np.ndarray:

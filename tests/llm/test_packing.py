@@ -46,14 +46,17 @@ def rebuild(rows, length, width, end):
 def test_lossless(spark):
     ranks = bpe.default_ranks()
     back = {v: k for k, v in ranks.items()}
-    odd = [(1, None), (2, ""), (3, "a b c " * 9000), (4, "don't 日本 \n\n x"), (5, "one"), (5, "one"), (None, "null id"), (6, "x" * 5000)]
+    thue = "ab"
+    while len(thue) < 2048:
+        thue += thue.translate(str.maketrans("ab", "ba"))
+    odd = [(7, thue[:1024]), (8, thue[1024:]), (1, None), (2, ""), (3, "a b c " * 9000), (4, "don't 日本 \n\n x"), (5, "one"), (5, "one"), (None, "null id"), (6, "x" * 5000)]
     df = spark.createDataFrame([(*x, 7) for x in odd], "doc_id long, text string, shard int")
     rows = packing.pack(df, ranks, len(ranks), length=64, shard_bytes=20000).collect()
     pieces = rebuild(rows, 64, 2, len(ranks))
     texts = {}
     for (doc, k), got in sorted(pieces.items(), key=lambda x: (x[0][0] is None, x[0])):
         texts.setdefault(doc, []).append(got)
-    assert len(texts[5][0]) == 2 and set(texts) == {1, 2, 3, 4, 5, 6, None}
+    assert len(texts[5][0]) == 2 and set(texts) == {1, 2, 3, 4, 5, 6, 7, 8, None}
     for doc, text in odd:
         ids = [i for piece in texts[doc] for i in piece[0]]
         assert ids[-1] == len(ranks) and b"".join(back[i] for i in ids[:-1]) == (text or "").encode()
