@@ -14,13 +14,15 @@ decode(): the token-byte table (bounded by the vocabulary) is joined to ids.
 
 Defined results: null or empty text gives no ids; every row gives a row, also
 repeated ones and null doc_id; other columns are ignored.  The scan must give
-the same rows in the same order when a task runs again (files do); a block
-whose words and positions don't fit together raises an error.
+the same rows in the same order when a task runs again (files do); words and
+positions of a block carry a checksum of its words, and an error is raised
+where they differ.
 """
 
 from __future__ import annotations
 
 import base64
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -97,31 +99,30 @@ def ragged(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndar
 def block_words(data: np.ndarray, off: np.ndarray, buckets: int):
     """The distinct pre-tokens of a block of rows, by bucket and sorted within;
     the first of each bucket; the number of the pre-token at each position; and
-    each row's first position."""
-    parts, rows, hashes = [], [0], []
+    each row's first position.  Pre-tokens are told apart by hash; the bytes of
+    all are compared, so no two words share a number."""
+    starts, ends, rows = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [0]
     for lo, hi in X.spans(off, 1 << 18):
         part, o = data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo]
         cp, co = X.code_points(part, o)
         s = X.pretoken_starts(cp, co)
         e = np.append(s[1:], len(cp))
-        value = X.mix64(cp.astype(X.U64) + X.U64(0x9E3779B97F4A7C15))
-        hashes.append(X.span_hashes(value, s, e))
-        parts.append((s, e, part, len(cp)))
         rows += (rows[-1] + np.searchsorted(s, co)[1:]).tolist()
-    h = np.concatenate(hashes) if hashes else np.zeros(0, X.U64)
-    codes, distinct = pd.factorize(h)
+        if len(cp) != len(part):
+            byte = np.append(np.flatnonzero((part & 0xC0) != 0x80), len(part))
+            s, e = byte[s], byte[e]
+        starts.append(s + off[lo])
+        ends.append(e[: len(s)] + off[lo])
+    starts, ends, raw = np.concatenate(starts), np.concatenate(ends), data.tobytes()
+    codes, distinct = pd.factorize(X.span_hashes(data, starts, ends))
     first = np.full(len(distinct), -1, np.int64)
     first[codes[::-1]] = np.arange(len(codes))[::-1]
-    reps, at = [], 0
-    for s, e, part, n in parts:
-        mine = first[(first >= at) & (first < at + len(s))] - at
-        bs, be = s[mine], e[mine]
-        if n != len(part):
-            byte = np.append(np.flatnonzero((part & 0xC0) != 0x80), len(part))
-            bs, be = byte[bs], byte[be]
-        raw = part.tobytes()
-        reps += [raw[a:b] for a, b in zip(bs.tolist(), be.tolist())]
-        at += len(s)
+    if not X.same_spans(data, starts, ends, first[codes]):  # two words of one hash: told apart by their bytes
+        codes, kinds = pd.factorize(np.array([None, *(raw[a:b] for a, b in zip(starts.tolist(), ends.tolist()))], object)[1:])
+        reps = list(kinds)
+        distinct = np.array([int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little") for w in reps], X.U64)
+    else:
+        reps = [raw[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist())]
     bucket = (distinct % X.U64(buckets)).astype(np.int64)
     order = np.array(sorted(range(len(reps)), key=reps.__getitem__), np.int64) if reps else np.zeros(0, np.int64)
     order = order[np.argsort(bucket[order], kind="stable")]
@@ -139,6 +140,11 @@ def unplanes(raw: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, -1).T).view("<u4").ravel()
 
 
+def checksum(words: list[bytes]) -> int:
+    """Of a block's words in their order."""
+    return int.from_bytes(hashlib.blake2b(b"\0".join(words) + len(words).to_bytes(8, "little"), digest_size=8).digest(), "little", signed=True)
+
+
 def pack_words(words: list[bytes]) -> bytes:
     return zstandard.ZstdCompressor(level=5).compress(planes(np.array([len(w) for w in words], np.uint32)) + b"".join(words))
 
@@ -184,11 +190,12 @@ def _word_rows(limit: int, buckets: int):
     def run(batches):
         for block, _, data, off in _blocks(batches, limit):
             words, first, _, _ = block_words(data, off, buckets)
+            check = checksum(words)
             for lo in range(0, buckets, 64):
                 full = [b for b in range(lo, min(lo + 64, buckets)) if first[b + 1] > first[b]]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(full, pa.int32()), pa.array([block] * len(full), pa.int64()), pa.array([int(first[b + 1] - first[b]) for b in full], pa.int64()), pa.array([pack_words(words[first[b] : first[b + 1]]) for b in full], pa.binary())],
-                    ["bucket", "block", "n", "words"],
+                    [pa.array(full, pa.int32()), pa.array([block] * len(full), pa.int64()), pa.array([int(first[b + 1] - first[b]) for b in full], pa.int64()), pa.array([pack_words(words[first[b] : first[b + 1]]) for b in full], pa.binary()), pa.array([check] * len(full), pa.int64())],
+                    ["bucket", "block", "n", "words", "checksum"],
                 )
 
     return run
@@ -199,8 +206,8 @@ def _position_rows(limit: int, buckets: int, kind: pa.DataType):
         for block, ids, data, off in _blocks(batches, limit):
             words, _, codes, rows = block_words(data, off, buckets)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([block]), pa.array([len(words)]), pa.array([ids.cast(kind).to_pylist()], pa.list_(kind)), pa.array([rows.tolist()], pa.list_(pa.int64())), pa.array([pack_positions(codes, len(words))], pa.binary())],
-                ["block", "n_words", "doc_ids", "first", "positions"],
+                [pa.array([block]), pa.array([len(words)]), pa.array([checksum(words)]), pa.array([ids.cast(kind).to_pylist()], pa.list_(kind)), pa.array([rows.tolist()], pa.list_(pa.int64())), pa.array([pack_positions(codes, len(words))], pa.binary())],
+                ["block", "n_words", "checksum", "doc_ids", "first", "positions"],
             )
 
     return run
@@ -223,7 +230,7 @@ def _encode_words(ranks):
                     ids += got
                     lengths.append(len(got))
                 out.append(zstandard.ZstdCompressor(level=3).compress(planes(np.array(lengths, np.uint32)) + planes(np.array(ids, np.uint32))))
-            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(0), batch.column(2), pa.array(out, pa.binary())], ["block", "bucket", "n", "ids"])
+            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(0), batch.column(2), pa.array(out, pa.binary()), batch.column(4)], ["block", "bucket", "n", "ids", "checksum"])
 
     return run
 
@@ -243,8 +250,8 @@ def _place(kind: pa.DataType, tokens=None):
         lengths, flat = np.concatenate(lengths), np.concatenate(flat)
         starts = np.cumsum(lengths) - lengths
         for row in places.to_pylist():
-            if len(lengths) != row["n_words"]:
-                raise RuntimeError(f"block {row['block']} has {len(lengths)} words, its positions {row['n_words']}: the input's rows changed between two reads")
+            if len(lengths) != row["n_words"] or any(r["checksum"] != row["checksum"] for r in parts):
+                raise RuntimeError(f"the words of block {row['block']} are not those of its positions: the input's rows changed between two reads")
             codes = unpack_positions(row["positions"])
             ids = ragged(flat, starts[codes], lengths[codes])
             ends = np.concatenate([[0], np.cumsum(lengths[codes])])[np.asarray(row["first"], np.int64)]
@@ -289,9 +296,9 @@ def encode(df: DataFrame, ranks: dict[bytes, int], id_col: str = "doc_id", text_
     kind = pa.string() if sql_kind == "string" else pa.int32() if sql_kind == "int" else pa.int64()
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     buckets = 4 * n
-    words = arrow_map(docs, _word_rows(block_bytes, buckets), "bucket int, block long, n long, words binary")
-    places = arrow_map(docs, _position_rows(block_bytes, buckets, kind), f"block long, n_words long, doc_ids array<{sql_kind}>, first array<long>, positions binary")
-    encoded = arrow_map(words.repartition(n, "bucket").sortWithinPartitions("bucket"), _encode_words(shared), "block long, bucket int, n long, ids binary")
+    words = arrow_map(docs, _word_rows(block_bytes, buckets), "bucket int, block long, n long, words binary, checksum long")
+    places = arrow_map(docs, _position_rows(block_bytes, buckets, kind), f"block long, n_words long, checksum long, doc_ids array<{sql_kind}>, first array<long>, positions binary")
+    encoded = arrow_map(words.repartition(n, "bucket").sortWithinPartitions("bucket"), _encode_words(shared), "block long, bucket int, n long, ids binary, checksum long")
     tokens = spark.sparkContext.broadcast(token_table(ranks)) if decoded else None
     return places.groupBy("block").cogroup(encoded.groupBy("block")).applyInArrow(_place(kind, tokens), f"doc_id {sql_kind}, n_tokens long, ids binary" + ", decoded binary" * decoded)
 

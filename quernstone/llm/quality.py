@@ -44,7 +44,7 @@ def measures(column):
         before = np.concatenate([[0], np.cumsum(lead)])
         chars = np.concatenate([[0], np.cumsum(before[ends] - before[starts])])
         symbols = np.concatenate([[0], np.cumsum(_SYMBOL[data])])
-        h, at, win = X.shingles(X.span_hashes(X.BYTE_VALUE[data], starts, ends), first, 5)
+        h, at, win = X.shingles(X.span_hashes(data, starts, ends), first, 5)
         row = np.repeat(np.arange(hi - lo, dtype=X.U64), np.diff(win))
         codes, _ = pd.factorize(h ^ X.mix64(row + X.U64(1)))
         twice = at[np.bincount(codes)[codes] > 1] if len(codes) else at

@@ -1,13 +1,14 @@
 """Vectorised text primitives shared by the operators of this subpackage.
 
 All functions work on the UTF-8 buffer of an Arrow string column, a few
-megabytes of whole rows at a time, so Python never touches a single word.
-Hashes are polynomial over prefix sums modulo 2**64 (odd base, hence
-invertible), finished with a bijective mixer.
+megabytes of whole rows at a time, so Python touches only very long words.
+A word's hash chains a bijective mixer over its pieces of eight bytes; words
+of more than LONG_WORD bytes are hashed whole by BLAKE2.
 """
 
 from __future__ import annotations
 
+import hashlib
 import sys
 import unicodedata
 
@@ -18,6 +19,8 @@ U64 = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
 _BASE2 = 0xD1342543DE82EF95 | 1
 CHUNK_BYTES = 1 << 20
+LONG_WORD = 128
+_MASK = np.array([(1 << 8 * i) - 1 for i in range(9)], U64)
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -30,26 +33,6 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-BYTE_VALUE = mix64(np.arange(1, 257, dtype=U64) * U64(0x9E3779B97F4A7C15))
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-
-def powers(n: int, base: int = _BASE) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of base and of its inverse modulo 2**64."""
-    have = _powers.get(base)
-    if have is None or len(have[0]) < n:
-        size = max(n, CHUNK_BYTES + 65536)
-        out = []
-        for b in (base, pow(base, -1, 1 << 64)):
-            x = np.full(size, b, dtype=U64)
-            x[0] = 1
-            out.append(np.multiply.accumulate(x))
-        have = (out[0], out[1])
-        if size <= 4 * CHUNK_BYTES:
-            _powers[base] = have
-    return have[0][:n], have[1][:n]
-
-
 def utf8(column) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and row offsets of a string or binary column; null becomes empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -106,21 +89,45 @@ def words(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return starts, ends, np.searchsorted(starts, off)
 
 
-def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int = _BASE) -> np.ndarray:
-    """A hash of values[start:end] for each span; values are mixed uint64."""
-    n = len(values)
-    up, down = powers(n + 1, base)
-    total = np.empty(n + 1, U64)
-    total[0] = 0
-    np.cumsum(values * up[:n], out=total[1:])
-    h = (total[ends] - total[starts]) * down[starts]
-    return mix64(h + (ends - starts).astype(U64))
+def eights(data: np.ndarray) -> np.ndarray:
+    """The little-endian number of the eight bytes from each place on (zeros after the end)."""
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    return np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of data[start:end] for each span of bytes."""
+    length, at = ends - starts, eights(data)
+    h = mix64(length.astype(U64) * U64(_BASE) + U64(_BASE2))
+    on, done = np.flatnonzero((length > 0) & (length <= LONG_WORD)), 0
+    while len(on):
+        left = length[on] - done
+        h[on] = mix64((h[on] ^ (at[starts[on] + done] & _MASK[np.minimum(left, 8)])) * U64(_BASE))
+        on, done = on[left > 8], done + 8
+    for i in np.flatnonzero(length > LONG_WORD).tolist():
+        h[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]], digest_size=8).digest(), "little")
+    return h
+
+
+def same_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, other: np.ndarray) -> bool:
+    """Whether the bytes of each span equal those of the span whose number other has."""
+    length = ends - starts
+    if not np.array_equal(length, length[other]):
+        return False
+    at, on, done = eights(data), np.flatnonzero((length > 0) & (length <= LONG_WORD) & (other != np.arange(len(other)))), 0
+    while len(on):
+        left = length[on] - done
+        if (((at[starts[on] + done] ^ at[starts[other[on]] + done]) & _MASK[np.minimum(left, 8)]) != 0).any():
+            return False
+        on, done = on[left > 8], done + 8
+    return all(np.array_equal(data[starts[i] : ends[i]], data[starts[other[i]] : ends[other[i]]]) for i in np.flatnonzero((length > LONG_WORD) & (other != np.arange(len(other)))).tolist())
 
 
 def word_hashes(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words, and each row's first word number."""
     starts, ends, first = words(data, off)
-    return span_hashes(BYTE_VALUE[data], starts, ends), first
+    return span_hashes(data, starts, ends), first
 
 
 def shingles(hashes: np.ndarray, first: np.ndarray, k: int, whole: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -144,7 +151,12 @@ def shingles(hashes: np.ndarray, first: np.ndarray, k: int, whole: bool = False)
     if whole:
         few = np.flatnonzero((counts > 0) & (counts < k))
         if len(few):
-            extra = span_hashes(hashes, first[few], first[few + 1], _BASE2)
+            extra, m = counts[few].astype(U64), 1
+            for j in range(k - 1):
+                on = np.flatnonzero(counts[few] > j)
+                extra[on] += hashes[first[few[on]] + j] * U64(m)
+                m = m * _BASE2 & 0xFFFFFFFFFFFFFFFF
+            extra = mix64(extra)
             place = starts[few]
             h, at = np.insert(h, place, extra), np.insert(at, place, first[few])
             starts = np.concatenate([[0], np.cumsum(np.diff(starts) + ((counts > 0) & (counts < k)))])

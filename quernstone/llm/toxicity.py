@@ -52,16 +52,10 @@ def tokens(data: np.ndarray, off: np.ndarray):
     token's features: word; beginnings of 3, 4, 5 bytes; ending of 3 bytes."""
     buf = X.folded(data)
     s, e, first = X.words(buf, off)
-    value = X.BYTE_VALUE[buf]
     n = len(s)
-    up, down = X.powers(len(buf) + 1)
-    total = np.empty(len(buf) + 1, X.U64)
-    total[0] = 0
-    np.cumsum(value * up[: len(buf)], out=total[1:])
     feats = np.empty((5, n), np.intp)
     for k, (a, b) in enumerate(((s, e), (s, np.minimum(s + 3, e)), (s, np.minimum(s + 4, e)), (s, np.minimum(s + 5, e)), (np.maximum(e - 3, s), e))):
-        h = (total[b] - total[a]) * down[a]
-        feats[k] = X.mix64(h + X.U64(k + 1)) >> X.U64(64 - BITS)
+        feats[k] = X.mix64(X.span_hashes(buf, a, b) + X.U64(k + 1)) >> X.U64(64 - BITS)
     return s, e, first, feats
 
 

@@ -2,12 +2,16 @@ import base64
 import hashlib
 
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 
-from quernstone.llm import bpe
+from quernstone.llm import bpe, textnum as X
 
-ODD = ["", None, " ", "a", "don't  stop\n\n 'tis", "Ünïcode ² ٣  x　y", "x" * 3000, "ab " * 40000, "</s>[INST]", "'s'll've \n 's", "日本語 テキスト😀", "don't  stop\n\n 'tis"]
+THUE = "ab"
+while len(THUE) < 8192:
+    THUE += THUE.translate(str.maketrans("ab", "ba"))
+ODD = [THUE, THUE.translate(str.maketrans("ab", "ba")), THUE[:1024], THUE[1024:2048], "", None, " ", "a", "don't  stop\n\n 'tis", "Ünïcode ² ٣  x　y", "x" * 3000, "ab " * 40000, "</s>[INST]", "'s'll've \n 's", "日本語 テキスト😀", "don't  stop\n\n 'tis"]
 
 
 @pytest.fixture(scope="module")
@@ -53,3 +57,12 @@ def test_merge_long(ranks, known):
     for w in (b"hello", b" worthless", "naïveté".encode(), b"aaaaaaaaaaaaaa"):
         assert bpe.merge(w, ranks) == bpe._merge_long([w[i : i + 1] for i in range(len(w))], ranks) or w in ranks
     assert base64.b64encode(b"x")
+
+
+def test_words_of_one_hash_stay_apart(monkeypatch):
+    texts = pa.array(["one two three four", "two three " + "long" * 60, "five one"])
+    data, off = X.utf8(texts)
+    want = bpe.block_words(data, off, 4)
+    monkeypatch.setattr(X, "span_hashes", lambda d, s, e: (e - s).astype(X.U64))
+    words, first, codes, rows = bpe.block_words(data, off, 4)
+    assert [words[c] for c in codes] == [want[0][c] for c in want[2]] and rows.tolist() == want[3].tolist() and first[-1] == len(words)
