@@ -32,7 +32,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import textnum as X
-from .spark_util import arrow_map, extend, release, table
+from .spark_util import arrow_map, blocks, extend, release, table
 
 BLOCK_BYTES = 1 << 22
 
@@ -175,20 +175,10 @@ def unpack_positions(packed: bytes) -> np.ndarray:
     return np.where(codes < n, hot[np.minimum(codes, n - 1)] if n else 0, codes - n)
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], limit: int):
-    from pyspark import TaskContext
-
-    part = TaskContext.get().partitionId()
-    number = 0
-    for batch in batches:
-        for lo, hi, data, off in X.chunks(batch.column(1), limit):
-            yield (part << 32) + number, batch.column(0).slice(lo, hi - lo), data, off
-            number += 1
-
-
 def _word_rows(limit: int, buckets: int):
     def run(batches):
-        for block, _, data, off in _blocks(batches, limit):
+        for block, rows in blocks(batches, 1, limit):
+            data, off = X.utf8(rows.column(1))
             words, first, _, _ = block_words(data, off, buckets)
             check = checksum(words)
             for lo in range(0, buckets, 64):
@@ -203,10 +193,11 @@ def _word_rows(limit: int, buckets: int):
 
 def _position_rows(limit: int, buckets: int, kind: pa.DataType):
     def run(batches):
-        for block, ids, data, off in _blocks(batches, limit):
+        for block, docs in blocks(batches, 1, limit):
+            data, off = X.utf8(docs.column(1))
             words, _, codes, rows = block_words(data, off, buckets)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([block]), pa.array([len(words)]), pa.array([checksum(words)]), pa.array([ids.cast(kind).to_pylist()], pa.list_(kind)), pa.array([rows.tolist()], pa.list_(pa.int64())), pa.array([pack_positions(codes, len(words))], pa.binary())],
+                [pa.array([block]), pa.array([len(words)]), pa.array([checksum(words)]), pa.array([docs.column(0).cast(kind).to_pylist()], pa.list_(kind)), pa.array([rows.tolist()], pa.list_(pa.int64())), pa.array([pack_positions(codes, len(words))], pa.binary())],
                 ["block", "n_words", "checksum", "doc_ids", "first", "positions"],
             )
 

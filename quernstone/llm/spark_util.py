@@ -15,6 +15,14 @@ def parallelism(spark: SparkSession) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """name, with as many underscores before it as make it no column of df."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 BATCH_ROWS = 4000  # documents in an Arrow batch, where the session has Spark's own 10,000
 
 
@@ -47,6 +55,34 @@ def arrow_map(df: DataFrame, function, schema) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
+def blocks(batches, place: int, limit: int):
+    """(block number, rows) of the task's input in turn: as many rows as hold at
+    most limit bytes in the string column at place, or one row of more.  It
+    depends on the rows alone, not on how they are dealt to batches."""
+    import numpy as np
+    import pyarrow as pa
+    from pyspark import TaskContext
+
+    from .textnum import utf8
+
+    number, rows, size = TaskContext.get().partitionId() << 32, [], 0
+    for batch in batches:
+        off = utf8(batch.column(place))[1]
+        lo, n = 0, batch.num_rows
+        while lo < n:
+            hi = min(int(np.searchsorted(off, off[lo] + limit - size, "right")) - 1, n)
+            hi = max(hi, lo if rows else lo + 1)
+            if hi > lo:
+                rows.append(batch.slice(lo, hi - lo))
+                size += int(off[hi] - off[lo])
+            if hi < n:
+                yield number, pa.concat_batches(rows)
+                number, rows, size = number + 1, [], 0
+            lo = hi
+    if rows:
+        yield number, pa.concat_batches(rows)
+
+
 def extend(df: DataFrame, column: str, function, fields: str) -> DataFrame:
     """df with further columns (fields, as DDL) that function makes from the
     Arrow array of one column, batch by batch; columns of those names go first."""

@@ -6,7 +6,7 @@ import pyarrow as pa
 import tiktoken
 
 import corpus_pipeline
-from quernstone.llm import bpe, decontam, jaccard, langid, line_dedup
+from quernstone.llm import bpe, decontam, jaccard, langid
 from quernstone.llm import textnum as X
 
 
@@ -19,19 +19,26 @@ def by_hand(spark, sf):
         if letter[0] and p[0].max() >= model.least:
             kept.append((i, t))
     seen, out = set(), []
-    for i, t in kept:
-        ls, keep, gone = t.encode().split(b"\n"), [], 0
-        for a, b, _, may in line_dedup.chunk_lines(ls):
-            piece = b"\n".join(ls[a:b])
-            if may and piece in seen:
-                gone += 1
-                continue
-            if may:
-                seen.add(piece)
-            keep += ls[a:b]
-        text = b"\n".join(keep)
+    for i, t in kept:  # in order of doc_id
+        ls = t.split("\n")
+        full = [k for k, x in enumerate(ls) if x.split()]
+        size = {k: len(ls[k].encode().split()) for k in full}
+        pairs = [((ls[a], ls[b]), (a, b)) for a, b in zip(full, full[1:])] + [((ls[a],), (a,)) for a in full if size[a] >= 50]
+        hit = set()
+        for window, places in pairs:
+            hit |= set(places) if window in seen else set()
+            seen.add(window)
+        gone, run = set(), []
+        for k in [*full, None]:
+            if k in hit:
+                run.append(k)
+            else:
+                if sum(size[x] for x in run) >= 50:
+                    gone |= set(range(run[0], run[-1] + 1))
+                run = []
+        text = "\n".join(x for k, x in enumerate(ls) if k not in gone)
         if not gone or text.split():
-            out.append((i, text.decode()))
+            out.append((i, text))
     def windows(t):
         w = t.encode().split()
         return {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())

@@ -17,7 +17,7 @@ def odd():
         (1, None), (2, ""), (3, "\n\n"), (4, "a b\na b\n\na b"), (5, "one two three four five one two three four five x"), (6, " \t x\x0by \r\n z"),
         (7, WIDE), (8, "head\n" + WIDE + "\ntail"), (9, WIDE + "\n" + WIDE), (9, WIDE + "\n" + WIDE), (None, WIDE), (None, None), (10, "é ü # * <b> Ünï " * 30), (11, "x " * 50000),
     ]
-    lines = [f"line {i} " + "word " * (i % 7) for i in range(12)]
+    lines = [f"line {i} " + "word " * (i % 7 + 4) for i in range(12)]
     rows += [(20 + i, "\n".join([f"start {i}"] * (i % 3) + lines + [f"end {i}"])) for i in range(30)]
     return [(d, t, "en", None if d is None else f"s{(d or 0) % 2}", 1, "clash") for d, t in rows]
 
@@ -39,15 +39,27 @@ def test_against_sql(spark, sf, module):
     same(module.query(spark, sf), module.SQL, sf)
 
 
-def test_chunks_resume_after_an_insertion():
-    import random
-
-    rnd = random.Random(3)
-    lines = [f"text {rnd.random()} of a line".encode() for _ in range(400)]
-    cut = {b"\n".join(lines[a:b]) for a, b, _, _ in line_dedup.chunk_lines(lines)}
-    more = lines[:100] + [b"new"] + lines[100:]
-    kept = [b"\n".join(more[a:b]) for a, b, _, _ in line_dedup.chunk_lines(more)]
-    assert sum(k in cut for k in kept) >= len(kept) - 4
+@pytest.mark.parametrize("shape", [(2, 30), (3, 20), (4, 15), (6, 12), (10, 12), (20, 6), (1, 55)])
+def test_passages_of_any_shape_go_whole(spark, shape):
+    """Passages shared by two documents at different places, of n lines of m words."""
+    n, m = shape
+    word = iter(f"u{i}" for i in range(10**9))
+    line = lambda k: " ".join(next(word) for _ in range(k))
+    rows, want = [], {}
+    for g in range(20):
+        passage, own = [line(m) for _ in range(n)], [line(9) for _ in range(8)]
+        rows += [(2 * g, "\n".join(own[: g % 3] + passage + own[g % 3 : 4])), (2 * g + 1, "\n".join(own[4:6] + passage[:1] + [""] + passage[1:] + own[6:]))]
+        want |= {2 * g: rows[-2][1], 2 * g + 1: "\n".join(own[4:] if n > 1 else own[4:6] + [""] + own[6:])}
+    got = line_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(3, "text"))
+    assert {r.doc_id: r.text for r in got.collect()} == want
+
+
+def test_short_runs_and_clean_documents_stay(spark):
+    rows = [(1, "a b c\nd e f\nx1"), (2, "a b c\nd e f\nx2"), (3, "own line of a text"), (4, None), (None, "")]
+    df = spark.createDataFrame([(*r, 5, "x") for r in rows], "doc_id long, text string, n_lines int, block string")
+    got = line_dedup.dedup(df)
+    assert got.columns == ["doc_id", "text", "block", "n_lines", "chunks_removed", "words_removed"]
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=repr) == sorted(rows, key=repr)
 
 
 def test_another_salt_gives_the_same(spark, sf):
