@@ -59,9 +59,10 @@ def page(i, paragraphs, extra=""):
 def test_text_against_the_standard_parser():
     pages = [page(i, i % 5) for i in range(12)]
     wrapper = W._merged(("h", W.expression(W.parse(p))) for p in pages)["h"]
-    assert W.main_labels(wrapper) == ["article"]
+    main = W.region(wrapper)
+    assert len(main.paths) == 1 and not main.template
     for p in pages:
-        assert W.text_of(W.parse(p), ["article"]) == "\n".join(Plain(p).blocks)
+        assert W.text_of(W.parse(p), main) == "\n".join(Plain(p).blocks)
 
 
 def test_inference():
@@ -75,9 +76,9 @@ def test_inference():
 
 
 def test_no_article():
-    assert W.text_of(W.parse("<div id=content><p>x</p></div><div class=menu>m</div>"), []) == "x"
-    assert W.text_of(W.parse("<header>h</header><p>x &am <<p>y"), []) == "x &am <\ny"
-    assert W.text_of(W.parse('<p hidden>n</p>plain <a href="<">link</a>'), []) == "plain link"
+    assert W.text_of(W.parse("<div id=content><p>x</p></div><div class=menu>m</div>"), W.Region()) == "x"
+    assert W.text_of(W.parse("<header>h</header><p>x &am <<p>y"), W.Region()) == "x &am <\ny"
+    assert W.text_of(W.parse('<p hidden>n</p>plain <a href="<">link</a>'), W.Region()) == "plain link"
 
 
 def test_pages(spark, sf):
@@ -100,9 +101,9 @@ def test_pages(spark, sf):
 def test_names_at_any_place_of_a_long_class_list():
     long = " ".join(f"utility-class-{c * 5}" for c in "abcdef")
     html = f'<article><p>kept</p><div class="{long} comments">first!</div><div class="{long[:53]} commentary">said</div></article>'
-    assert W.text_of(W.parse(html), ["article"]) == "kept\nsaid"
+    assert W.text_of(W.parse(html), W.Region()) == "kept\nsaid"
     tree = W.parse(f'<div>out</div><div class="{long} entry">in</div>')
-    assert W.text_of(tree, W.main_labels(W.expression(tree))) == "in"
+    assert W.text_of(tree, W.Region()) == "in"
 
 
 def test_regions_at_any_depth(spark):
@@ -126,3 +127,61 @@ def test_expressions_as_json():
         assert back[2][0] == ["#", 3] and back[2][2] == ["#", None]
         back = back[2][1]
     assert back == e
+
+
+def test_slots_decide_without_names():
+    """No class name says anything: constant strings are template, slots are text."""
+    def neutral(i):
+        story = "".join(f"<p>Story {i} part {k} text here</p>" for k in range(i % 3 + 1))
+        return f'<body><div class="qa">Welcome to the portal</div><div class="qb"><div class="qd">Printed for you</div><h2>Title {i}</h2><div class="qe">{story}</div></div><div class="qf"><a href="/{i}">see number {i} of all the others too</a></div><div class="qc">All rights reserved</div></body>'
+
+    wrapper = W._merged(("h", W.expression(W.parse(neutral(i)))) for i in range(5))["h"]
+    main = W.region(W.loads(W.dumps(wrapper)))
+    for i in range(5):
+        assert W.text_of(W.parse(neutral(i)), main) == "\n".join([f"Title {i}", *(f"Story {i} part {k} text here" for k in range(i % 3 + 1))])
+    flat = [f"<div class=qa>Welcome to the portal</div><div class=qb><p>Story {i} text here</p></div><div class=qc>All rights reserved</div>" for i in range(5)]
+    main = W.region(W._merged(("h", W.expression(W.parse(p))) for p in flat)["h"])
+    assert [W.text_of(W.parse(p), main) for p in flat] == [f"Story {i} text here" for i in range(5)]
+    mixed = [f"<div class=qb><p>Story {i} text here</p><ul>Ask the author</ul><p>and more of {i}</p></div><div class=qc>All rights reserved</div>" for i in range(5)]
+    main = W.region(W._merged(("h", W.expression(W.parse(p))) for p in mixed)["h"])
+    assert [W.text_of(W.parse(p), main) for p in mixed] == [f"Story {i} text here\nand more of {i}" for i in range(5)]
+    copies = [flat[0]] * 5
+    main = W.region(W._merged(("h", W.expression(W.parse(p))) for p in copies)["h"])
+    assert "Story 0 text here" in W.text_of(W.parse(copies[0]), main)
+
+
+def test_a_header_in_the_article_stays():
+    page = "<header>Site</header><article><header><h1>Title</h1></header><p>one two three</p></article>"
+    assert W.text_of(W.parse(page), W.Region()) == "Title\none two three"
+
+
+def test_common_subsequences(monkeypatch):
+    import random
+
+    rnd = random.Random(5)
+
+    def length(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            new = [0]
+            for j, y in enumerate(b):
+                new.append(row[j] + 1 if x == y else max(row[j + 1], new[-1]))
+            row = new
+        return row[-1]
+
+    for bits in (1 << 28, 40):
+        monkeypatch.setattr(W, "ALIGN_BITS", bits)
+        for _ in range(150):
+            a, b = ([rnd.choice("abcd") for _ in range(rnd.randrange(24))] for _ in range(2))
+            got = W.common(a, b)
+            assert len(got) == length(a, b) and all(a[i] == b[j] for i, j in got)
+            assert all(p < q and i < j for (p, i), (q, j) in zip(got, got[1:]))
+
+
+def test_many_siblings():
+    import random
+
+    rnd = random.Random(6)
+    pages = ["<article>" + "".join(rnd.choice(["<p>x</p>", "<div>y</div>", "<h2>z</h2>", "<ul>u</ul>", "<pre>v</pre>"]) for _ in range(20_000)) + "</article>" for _ in range(2)]
+    wrapper = W._merged(("h", W.expression(W.parse(p))) for p in pages)["h"]
+    assert W.text_of(W.parse(pages[0]), W.region(wrapper)).count("\n") == 19_999
