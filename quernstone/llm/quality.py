@@ -6,8 +6,10 @@ documents of each (host, line) are counted, lines in more than max_docs
 documents of a host are removed, and a document that loses more than
 max_removed of its words is rejected.  `source` is the host here.
 
-No key is gathered: counts are summed before the shuffle, and the join of
-lines with the frequent ones is an equi-join that Spark may split.
+No key is gathered: counts are summed before the shuffle, and very frequent
+lines (and rows repeated very often) meet their counts by broadcast, with a
+proven bound of such keys (skew_join).  clean() gives the texts of kept documents
+without the removed lines.
 
 Defined results: null text counts as none (0 words, base_failed); repeated
 rows get equal verdicts and count as one document where the doc_id is equal;
@@ -25,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import textnum as X
-from .spark_util import cut, extend, table
+from .spark_util import cut, extend, skew_join, table
 
 MAX_DOCS = 20  # documents of one host that may share a line
 MAX_REMOVED = 0.8  # share of a document's words; a text with a common heading and a little of its own stays
@@ -76,14 +78,22 @@ def judge(df: DataFrame, host_col: str = "source", max_docs: int = MAX_DOCS, max
     docs = docs.withColumns({"k1": F.coalesce("doc_id", F.lit(-(2**63))), "k2": F.xxhash64("text")})
     own = cut(extend(docs, "text", measures, MEASURES).drop("text"))
     lines = own.select("k1", "k2", "host", F.inline("lines"))
-    often = lines.groupBy("host", "h").agg(F.count_distinct("k1").alias("docs")).where(F.col("docs") > max_docs).drop("docs")
-    lost = lines.distinct().join(often, ["host", "h"]).groupBy("k1", "k2").agg(F.sum("n").alias("removed"))
-    out = own.drop("lines", "host").join(lost, ["k1", "k2"], "left").withColumn("removed_words", F.coalesce("removed", F.lit(0)))
+    often = _often(lines, max_docs)
+    each = lines.groupBy("k1", "k2", "host", "h", "n").agg(F.count("*").alias("copies"))
+    total = own.agg(F.count("*"), F.sum(F.size("lines"))).first()
+    met = skew_join(each, often, ["host", "h"], "docs", total[1] or 0)
+    lost = cut(met.groupBy("k1", "k2").agg(F.sum("n").alias("removed"), F.max("copies").alias("copies")))
+    out = skew_join(own.drop("lines", "host"), lost, ["k1", "k2"], "copies", total[0], "left").withColumn("removed_words", F.coalesce("removed", F.lit(0)))
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     fine = F.col("removed_words") <= max_removed * F.col("n_words")
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), "removed_words", (~failed & fine).alias("kept"))
 
 
+def _often(lines: DataFrame, max_docs: int) -> DataFrame:
+    """(host, h, docs) of the lines over the limit."""
+    return cut(lines.groupBy("host", "h").agg(F.count_distinct("k1").alias("docs")).where(F.col("docs") > max_docs))
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "documents"))
 

@@ -100,6 +100,23 @@ def extend(df: DataFrame, column: str, function, fields: str) -> DataFrame:
     return arrow_map(df, run, StructType([*df.schema.fields, *more.fields]))
 
 
+HOT_KEYS = 10_000  # keys that hold more than one in so many of all rows; there can't be more than so many of them
+
+
+def skew_join(rows: DataFrame, facts: DataFrame, keys: list[str], n: str, total: int, how: str = "inner") -> DataFrame:
+    """rows joined (inner or left) with facts, which has one row for each key and,
+    in column n (dropped), how many of the total rows have it.  Hot keys' facts are
+    broadcast (HOT_KEYS rows at most), so their rows stay where they are; no other
+    key has more than total / HOT_KEYS rows in a task."""
+    from pyspark.sql import functions as F
+
+    least = total / HOT_KEYS
+    hot = F.broadcast(facts.where(F.col(n) > least).drop(n))
+    cold = facts.where(F.col(n) <= least).drop(n)
+    rest = rows.join(F.broadcast(facts.where(F.col(n) > least).select(*keys)), keys, "left_anti")
+    return rows.join(hot, keys).unionByName(rest.join(cold, keys, how), allowMissingColumns=True)
+
+
 def bounded_sample(df: DataFrame, key: str, limit: int) -> DataFrame:
     """About limit rows: those of the least hashes of key (rows of one key go together)."""
     from pyspark.sql import functions as F

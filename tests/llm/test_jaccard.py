@@ -39,6 +39,21 @@ def test_small_blocks(spark, folder, monkeypatch):
     same(jaccard.query(spark, folder), jaccard.SQL, folder)
 
 
+def test_chained_components(spark, folder, monkeypatch):
+    monkeypatch.setattr(jaccard, "CHAIN", 3)
+    monkeypatch.setattr(jaccard, "BLOCK", 4)
+    same(jaccard.query(spark, folder), jaccard.SQL, folder)
+
+
+@pytest.mark.parametrize("keys", [0.1, 20])  # none is hot, some are
+def test_hot_keys(spark, folder, monkeypatch, keys):
+    from quernstone.llm import spark_util
+
+    monkeypatch.setattr(spark_util, "HOT_KEYS", keys)
+    monkeypatch.setattr(jaccard, "HOT_KEYS", keys)
+    same(jaccard.query(spark, folder), jaccard.SQL, folder)
+
+
 def test_one_of_each(spark, folder):
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     kept = jaccard.one_of_each(docs)
