@@ -2,8 +2,9 @@
 
 Byte n-grams (2 to 4) inside blank-bounded words are hashed to embeddings,
 averaged over the whole text and sent through a linear softmax, all trained by
-stochastic gradient descent in numpy on a bounded sample (max_docs documents,
-those of the least id hashes).  A temperature fitted on a validation part
+stochastic gradient descent in numpy on a bounded sample (max_docs documents of
+max_bytes together, those of the least id hashes): on the whole texts, and on
+random stretches of them, so that short texts are known too.  A temperature fitted on a validation part
 calibrates the probability; texts below a probability chosen there, null texts
 and texts without a letter are rejected.
 
@@ -12,7 +13,8 @@ Since averaging and the linear layer commute, prediction adds up one row of
 
 Defined results: null, empty and letterless texts are `und` with score 0 and
 rejected; repeated rows give equal rows; without a training row every text is
-`und`; other columns stay, but for the ones of the result's names.
+`und`; of languages of equal probability the first by name is told; other
+columns stay, but for the ones of the result's names.
 """
 
 from __future__ import annotations
@@ -24,11 +26,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import textnum as X
-from .spark_util import bounded_sample, extend, held_out, table
+from .spark_util import bounded_sample, extend, held_out, sample_rows, table
 
 BITS = 17
 BUCKETS = 1 << BITS
 MAX_DOCS = 4000  # documents that the model is fitted on, at most about so many
+MAX_BYTES = 64 << 20  # of their texts
 
 
 @dataclass
@@ -81,14 +84,14 @@ def fit(texts: list[str], langs: list[str], dim: int = 8, epochs: int = 4, rate:
         valid[:] = np.arange(len(texts)) % 5 == 4
     for i, (t, lang) in enumerate(zip(texts, langs)):
         raw = t.encode()
-        for size in (15, 40, 120, 500):
+        for size in (15, 40, 120, 500, len(raw)):
             a = int(rng.integers(0, max(1, len(raw) - size)))
             data = np.frombuffer(raw[a : a + size], np.uint8)
             g, _ = grams(data, np.array([0, len(data)]))
-            g = np.concatenate(g)
-            g = g[g < BUCKETS]
-            if len(g):
-                samples.append(g)
+            count = np.unique(np.concatenate(g).astype(np.uint32), return_counts=True)
+            known = count[0] < BUCKETS
+            if known.any():
+                samples.append((count[0][known], count[1][known].astype(np.float32)))
                 labels.append(number[lang])
                 held.append(valid[i])
     labels, held = np.array(labels, np.int64), np.array(held, bool)
@@ -104,24 +107,25 @@ def fit(texts: list[str], langs: list[str], dim: int = 8, epochs: int = 4, rate:
         order = rng.permutation(train)
         for lo in range(0, len(order), batch):
             pick = order[lo : lo + batch]
-            size = np.array([len(samples[i]) for i in pick])
-            idx, seg = np.concatenate([samples[i] for i in pick]), np.repeat(np.arange(len(pick)), size)
-            x = np.add.reduceat(emb[idx], np.concatenate([[0], np.cumsum(size)[:-1]]), axis=0) / size[:, None]
+            size = np.array([len(samples[i][0]) for i in pick])
+            idx, seg = np.concatenate([samples[i][0] for i in pick]), np.repeat(np.arange(len(pick)), size)
+            share = np.concatenate([samples[i][1] / samples[i][1].sum() for i in pick])[:, None]
+            x = np.add.reduceat(emb[idx] * share, np.concatenate([[0], np.cumsum(size)[:-1]]), axis=0)
             z = x @ w + bias
             p = np.exp(z - z.max(1, keepdims=True))
             p /= p.sum(1, keepdims=True)
             p[np.arange(len(pick)), labels[pick]] -= 1
             p *= (weight[labels[pick]] / len(pick))[:, None]
             lr = rate * (1 - step / steps)
-            dx = (p @ w.T).astype(np.float32) * (len(pick) / size)[:, None].astype(np.float32)
+            dx = (p @ w.T).astype(np.float32) * np.float32(len(pick))
             w -= lr * (x.T @ p).astype(np.float32)
             bias -= lr * p.sum(0).astype(np.float32)
-            np.add.at(emb, idx, (-lr * dx).astype(np.float32)[seg])
+            np.add.at(emb, idx, (-lr * dx).astype(np.float32)[seg] * share)
             step += 1
     tab = np.zeros((BUCKETS + 1, k + 1), np.float32)
     tab[:-1, :-1], tab[:-1, -1] = emb @ w, 1
     check = np.flatnonzero(held) if held.any() else train
-    z = np.array([tab[samples[i], :-1].mean(0) + bias for i in check], np.float64)
+    z = np.array([np.average(tab[samples[i][0], :-1], axis=0, weights=samples[i][1]) + bias for i in check], np.float64)
     best, heat = np.inf, 1.0
     for t in np.geomspace(0.1, 10, 41):
         y = z / t
@@ -140,12 +144,13 @@ def fit(texts: list[str], langs: list[str], dim: int = 8, epochs: int = 4, rate:
     return Model(names, tab, bias.astype(np.float64), heat, min(least, 0.5))
 
 
-def fit_documents(df: DataFrame, max_docs: int = MAX_DOCS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
+def fit_documents(df: DataFrame, max_docs: int = MAX_DOCS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_bytes: int = MAX_BYTES) -> Model:
     """From text and non-null lang of the rows that aren't held out."""
     known = df.where(~held_out(id_col) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull())
     some = bounded_sample(known.select(id_col, text_col, lang_col), id_col, max_docs)
     one = some.groupBy(id_col).agg(F.min(F.struct(text_col, lang_col)).alias("s"))  # a row for each id, however often it comes
-    rows = sorted((r[0], r[1][0], r[1][1]) for r in one.collect())
+    one = one.select(id_col, F.col(f"s.{text_col}").alias("text"), F.col(f"s.{lang_col}").alias("lang"))
+    rows = sorted((r[0], r[1], r[2]) for r in sample_rows(one, id_col, "text", max_bytes))
     return fit([r[1] for r in rows], [r[2] for r in rows])
 
 

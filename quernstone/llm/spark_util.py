@@ -126,6 +126,21 @@ def bounded_sample(df: DataFrame, key: str, limit: int) -> DataFrame:
     return df.where(h <= F.lit(last)) if last is not None else df.limit(0)
 
 
+def sample_rows(df: DataFrame, key: str, text: str, max_bytes: int) -> list:
+    """The rows of df (a bounded sample), in the order of their key's hashes, as
+    long as their texts hold max_bytes together."""
+    from pyspark.sql import functions as F
+
+    some = cut(df.withColumn("__h", F.xxhash64(F.col(key).cast("string"))))
+    total, last = 0, None
+    for h, n in sorted((r[0], r[1]) for r in some.select("__h", F.octet_length(text)).collect()):
+        total += n
+        if total > max_bytes:
+            break
+        last = h
+    return some.where(F.col("__h") <= F.lit(last)).drop("__h").collect() if last is not None else []
+
+
 def held_out(key: str = "doc_id"):
     """Rows that no model learns from: crc32 of the id's text modulo 3 is 1."""
     from pyspark.sql import functions as F

@@ -14,7 +14,8 @@ The recursions work on the ratio of the two states' messages, and in blocks:
 2 x 2 matrices over all blocks at once, then one short scan over the blocks,
 so nothing loops over tokens in Python.
 
-Training uses at most about max_docs labelled documents (least id hashes).
+Training uses at most about max_docs labelled documents (least id hashes) of
+max_bytes of text together.
 Defined results: null and empty texts get the score of a document without
 toxic tokens; repeated rows get equal scores; labels given twice count as
 toxic if one says so; without labels of both kinds all scores are the share of
@@ -30,10 +31,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import textnum as X
-from .spark_util import bounded_sample, extend, held_out, table
+from .spark_util import bounded_sample, extend, held_out, sample_rows, table
 
 BITS = 18
 MAX_DOCS = 6000  # labelled documents that the model is fitted on, at most about so many
+MAX_BYTES = 64 << 20  # of their texts
 BLOCK = 128
 CHUNK = 1 << 18
 
@@ -274,13 +276,13 @@ def fit(texts: list[str], labels: list[int], epochs: int = 6) -> Model:
     return model
 
 
-def fit_documents(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS) -> Model:
+def fit_documents(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS, max_bytes: int = MAX_BYTES) -> Model:
     """From the labelled documents that aren't held out."""
     known = labels.where(~held_out() & F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     known = bounded_sample(known, "doc_id", max_docs)
     text = docs.select("doc_id", "text").where(F.col("text").isNotNull())
     one = text.join(F.broadcast(known), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))  # a row for each id, however often it comes
-    rows = sorted((r[0], r[1], r[2]) for r in one.collect())
+    rows = sorted((r[0], r[1], r[2]) for r in sample_rows(one, "doc_id", "text", max_bytes))
     return fit([r[1] for r in rows], [int(r[2] == 1) for r in rows])
 
 

@@ -30,6 +30,55 @@ def test_odd_texts_of_languages(spark):
     assert [r.lang_pred for r in langid.predict(df.select("doc_id", "text").limit(1), none).collect()] == ["und"]
 
 
+def test_scores_against_plain_sums():
+    """Averages over all n-grams of the whole text, by dictionaries of bytes."""
+    model = langid.fit(["the cat and the dog was here", "le chat et la souris", "die katze und der hund"] * 20, ["en", "fr", "de"] * 20)
+    for text in ["the cat", "Le chat, der HUND 12 x", "x", "the le " * 3000, "ÉTÉ über", "a b c"]:
+        raw = b" " + langid.X.folded(np.frombuffer(text.encode(), np.uint8)).tobytes() + b" "
+        total, n = np.zeros(3), 0
+        for k in (2, 3, 4):
+            for a in range(len(raw) - k + 1):
+                g = raw[a : a + k]
+                if b" " in g[1:-1] or not g.strip():
+                    continue
+                h = 0
+                for c in g:
+                    h = (h * 0x01000193 + c) % 2**32
+                h = ((h ^ h >> 15) * 0x9E3779B1 % 2**32) >> (32 - langid.BITS)
+                total, n = total + model.table[h, :3].astype(float), n + 1
+        z = (total / max(n, 1) + model.bias) / model.temperature
+        want = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+        got = next(langid.scores(model, d, o)[0][0] for _, _, d, o in langid.X.chunks(pa.array([text], pa.large_string())))
+        assert np.allclose(got, want, atol=1e-5), text
+
+
+def test_empty_tables_and_clashing_names(spark):
+    model = langid.fit(["the cat and the dog", "le chat et la souris"] * 20, ["en", "fr"] * 20)
+    none = spark.createDataFrame([], "doc_id long, text string, score string, spans int, rejected int")
+    assert langid.predict(none, model).columns == ["doc_id", "text", "spans", "lang_pred", "score", "rejected"]
+    assert langid.predict(none, model).count() == 0
+    toxic = toxicity.fit(["fine words here", "filth and more filth"] * 20, [0, 1] * 20)
+    assert toxicity.predict(none, toxic).columns == ["doc_id", "text", "rejected", "score", "spans"] and toxicity.predict(none, toxic).count() == 0
+    clash = spark.createDataFrame([(1, "filth", "x")], "doc_id long, text string, score string")
+    assert [0 < r.score < 1 for r in toxicity.predict(clash, toxic).collect()] == [True]
+
+
+def test_document_score_by_plain_recursion():
+    """The score of a text from marginals by loops and aggregates by hand."""
+    rng = np.random.default_rng(8)
+    words = [f"{a}{b}" for a in ("tun", "lor", "mek", "sif") for b in ("ing", "on", "er", "th")]
+    labels = [int(i % 4 == 0) for i in range(200)]
+    texts = [" ".join(rng.choice(words, 30)) + (" filth scum" * 2 if y else "") for y in labels]
+    model = toxicity.fit(texts, labels)
+    for text in ("", "tuning filth scum loron", "meker " * 300 + "filth", texts[0], texts[1]):
+        data, off = langid.X.utf8(pa.array([text], pa.large_string()))
+        _, _, first, feats = toxicity.tokens(data, off)
+        gain = np.exp(model.weights[feats].sum(0)) if feats.shape[1] else np.zeros(0)
+        p = by_loops(gain, first, model.trans, model.start)
+        want = 1 / (1 + np.exp(-np.clip(toxicity.aggregates(p, first) @ model.head, -30, 30)))
+        assert np.allclose(toxicity.score_texts(model, pa.array([text]))[0], want, atol=1e-6)
+
+
 def test_scores_do_not_depend_on_the_batch():
     model = langid.fit(["the cat and the dog", "le chat et la souris"] * 20, ["en", "fr"] * 20)
     texts = ["the cat", "", "le chat\n", "x", "the le " * 100]
