@@ -233,6 +233,7 @@ STATEMENTS = {
     "s10_grouping_sets": "SELECT p_brand, p_size, count(*) AS n, min(p_retailprice) AS low FROM part GROUP BY GROUPING SETS ((p_brand), (p_size), ())",
     "s11_case_dates_strings": "SELECT o_orderkey, CASE WHEN o_totalprice > 100000 THEN 'high' ELSE 'low' END AS tier, extract(year FROM o_orderdate) AS y, upper(substring(o_orderpriority, 1, 3)) AS p, coalesce(nullif(o_orderstatus, 'O'), 'none') AS st FROM orders",
     "s12_cross_and_range_join": "SELECT r_name, n_name FROM region CROSS JOIN nation WHERE n_nationkey BETWEEN r_regionkey * 5 AND r_regionkey * 5 + 4",
+    "s15_recursive": "WITH RECURSIVE reach(id, depth) AS (SELECT n_nationkey, 0 FROM nation WHERE n_nationkey < 2 UNION ALL SELECT n_nationkey, depth + 1 FROM reach JOIN nation ON n_nationkey = (id * 7 + 3) % 25 WHERE depth < 6) SELECT id, depth, count(*) AS n FROM reach GROUP BY id, depth",
     "s13_cube": "SELECT l_returnflag, l_linestatus, count(*) AS n FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)",
 }
 for _name, _text in STATEMENTS.items():

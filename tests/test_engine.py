@@ -192,6 +192,18 @@ def test_sql_gate(eng, spark):
     for bad in ("DROP TABLE person", "INSERT INTO person VALUES (1)", "SET a=b", "SHOW TABLES", "CREATE TABLE x AS SELECT 1", "SELECT * FROM secret", "SELECT * FROM parquet.`/etc`", "EXPLAIN SELECT 1", "CACHE TABLE person", "SELECT * FROM default.person", "WITH secret2 AS (SELECT 1) SELECT * FROM secret", "SELECT * FROM range(5)", "DESCRIBE person", "USE default", "SELECT (SELECT max(id) FROM secret) FROM person", "SELECT id FROM person WHERE id IN (SELECT id FROM secret)"):
         with pytest.raises((Forbidden, Validation)):
             eng.sql("u", bad).collect()
+    for bad in (
+        "SELECT reflect('java.lang.System', 'getProperty', 'user.dir') FROM person", "SELECT java_method('java.lang.System', 'getenv', 'HOME')", "SELECT max(id) FROM person HAVING max(try_reflect('java.lang.System', 'getenv')) > '1'",
+        "SELECT * FROM secret -- , secret as (", "SELECT * FROM secret WHERE '1' = ', secret as (select 1)'", "SELECT * FROM secret /* with secret as (select 1) */", "WITH secret AS (SELECT * FROM secret) SELECT * FROM secret",
+        "SELECT * FROM (WITH secret AS (SELECT 1 AS x) SELECT x FROM secret) JOIN secret", "SELECT (WITH secret AS (SELECT 1) SELECT count(*) FROM secret), (SELECT max(id) FROM secret)", "SELECT * FROM IDENTIFIER('secret')", "SELECT IDENTIFIER('reflect')('a', 'b')",
+        "VALUES (1, (SELECT max(id) FROM secret))", "SELECT input_file_name() FROM person", "SELECT current_user()", "SELECT rand()", "SELECT id FROM person ORDER BY uuid()", "SELECT row_number() OVER w FROM person WINDOW w AS (ORDER BY (SELECT max(id) FROM secret))",
+        "SELECT id FROM person WHERE EXISTS (SELECT 1 FROM secret)", "SELECT * FROM person, LATERAL (SELECT * FROM secret)", "SELECT * FROM person LATERAL VIEW java_method('a', 'b') t AS x", "SELECT TRANSFORM (id) USING 'cat' FROM person", "SELECT * FROM person TIMESTAMP AS OF '2020-01-01'", "SELECT default.f(id) FROM person", "FROM secret |> SELECT id", "SELECT current_user FROM person",
+    ):
+        with pytest.raises((Forbidden, Validation)):
+            eng.sql("u", bad)
+    assert [r.n for r in eng.sql("u", "WITH RECURSIVE t(n) AS (SELECT 1 UNION ALL SELECT n + 1 FROM t WHERE n < 3) SELECT n FROM t ORDER BY n").collect()] == [1, 2, 3]
+    assert eng.sql("u", "SELECT e FROM person LATERAL VIEW explode(array(1, 2)) x AS e WHERE id IN (SELECT id FROM Person)").count() == 4
+    assert eng.sql("u", "SELECT sum(id) OVER w AS s, upper(name), coalesce(age, 1) FROM person WINDOW w AS (ORDER BY id)").count() == 2
     with pytest.raises(Exception, match="boss"):
         eng.sql("u", "SELECT boss FROM person")
     assert eng.sql("u", "WITH p AS (SELECT id FROM person) SELECT count(*) AS n FROM p").collect()[0].n == 2
