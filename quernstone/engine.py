@@ -24,13 +24,15 @@ class Engine:
 
     def __init__(self, spark: SparkSession, warehouse: str | None = None, tables: dict[str, DataFrame] | None = None, clock=time.time):
         self.spark, self.clock = spark, clock
-        self.registry, self.acl, self.lineage = Registry(), Acl(), Lineage()
+        self.registry, self.acl = Registry(), Acl()
         self.catalog = Catalog(spark, warehouse, clock) if warehouse else None
+        self.lineage = Lineage(self.catalog)
         self.streams = Streams(self.catalog) if warehouse else None
         self.tables = dict(tables or {})
         self.views: dict[str, tuple[str, str, list[str]]] = {}
         self.actions, self.transforms = Actions(self), Transforms(self)
-        self.ctx = Context(spark, self.registry, self.acl, self.table)
+        self.transforms.handlers |= {"compact": lambda args: self.catalog.compact(args["table"]), "build_index": lambda args: self.build_index(args["type"], args["index"])}
+        self.ctx = Context(spark, self.registry, self.acl, self.table, self.catalog)
 
     def table(self, name: str, at: Snapshot | None = None) -> DataFrame:
         if name in self.tables:
@@ -70,6 +72,9 @@ class Engine:
     def search(self, subject: str, name: str, index: str, query: list[float], k: int, **options) -> DataFrame:
         return search.governed_knn(self.ctx, subject, name, index, query, k, **options)
 
+    def search_many(self, subject: str, name: str, index: str, queries: DataFrame, k: int, **options) -> DataFrame:
+        return search.governed_knn_many(self.ctx, subject, name, index, queries, k, **options)
+
     def sql(self, subject: str, text: str) -> DataFrame:
         return sqlgate.query(self.ctx, subject, text, self.views)
 
@@ -90,21 +95,18 @@ class Engine:
         g = governed(self.ctx, subject, name)
         if fields is not None and not set(fields) <= set(g.visible):
             raise Forbidden("a field isn't readable")
-        rows, after = self.streams.page(g.type.table, cursor, start, limit)
-        if g.policy.row_filters:
-            kept = self.spark.createDataFrame(rows, self.catalog.schema(g.type.table)).where(g.policy.condition()).collect() if rows else []
-        else:
-            kept = rows
+        kept, after = self.streams.page(g.type.table, cursor, start, limit, g.policy.condition() if g.policy.row_filters else None)
         wanted = fields or g.visible
         return [{**{c: "***" if c in g.policy.mask else r[c] for c in wanted}, "_kind": r["_chg_kind"], "_bucket": r["_chg_bucket"], "_offset": r["_chg_offset"]} for r in kept], after
 
     # --- landing
 
     def land(self, table: str, df: DataFrame, size: int | None = None, mode: str = "append") -> int:
-        version = self.catalog.land(table, df, size, mode)
-        self.transforms.fire(table)
-        self.lineage.emit(f"land@{version}", self.clock(), "complete", [], [table])
-        return version
+        def also(tx):
+            self.lineage.emit(f"land@{tx.next}", self.clock(), "complete", [], [table], tx)
+            self.transforms.fire(tx, table)
+
+        return self.catalog.land(table, df, size, mode, also=also)
 
     def land_model(self, name: str, df: DataFrame, identity: str | None = None, mode: str = "append") -> int:
         """Lands rows of a type: inferred if unknown, else gated by schema and by
@@ -135,8 +137,26 @@ class Engine:
         self.table(base).where(F.expr(predicate))
         self.views[name] = (base, predicate, columns)
 
+    def views_of(self, subject: str) -> list[str]:
+        return sorted(v for v in self.views if self.acl.allowed(subject, v))
+
+    def delete_view(self, name: str) -> None:
+        if name not in self.views:
+            raise NotFound(f"view {name}")
+        del self.views[name]
+
+    # --- vector indexes
+
+    def build_index(self, type_name: str, index: str) -> dict:
+        """Builds a type's index at the current snapshot and keeps it."""
+        return search.IndexStore(self.ctx).build(type_name, index)
+
     # --- metadata
 
+    def types(self, subject: str) -> list[str]:
+        """The types that the subject may read."""
+        return sorted(t for t in self.registry.types if self.acl.allowed(subject, t))
+
     def readable(self, subject: str, table: str) -> bool:
         return self.acl.allowed(subject, table) or any(self.acl.allowed(subject, t.name) for t in self.registry.types.values() if t.table == table)
 

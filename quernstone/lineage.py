@@ -15,17 +15,31 @@ SCHEMA = "run string, time double, state string, dataset string, direction strin
 
 @dataclass
 class Lineage:
-    """Events are appended, a row for each dataset of a run's event."""
+    """Events, a row for each dataset of a run's event.  With a catalog they are
+    part of its commits (the one of the data that they tell of, where there is
+    one) and read from its log; without one they stay in memory."""
 
+    catalog: object = None
     rows: list[tuple] = field(default_factory=list)
 
-    def emit(self, run: str, time: float, state: str, inputs: list[str], outputs: list[str]) -> None:
+    def emit(self, run: str, time: float, state: str, inputs: list[str], outputs: list[str], tx=None) -> None:
+        """tx: the commit that the event belongs to, else it makes one."""
         if state not in ("start", "complete", "fail"):
             raise Validation(f"unknown state {state}")
-        self.rows += [(run, time, state, d, "input") for d in inputs] + [(run, time, state, d, "output") for d in outputs]
+        new = [(run, time, state, d, "input") for d in inputs] + [(run, time, state, d, "output") for d in outputs]
+        if tx is not None:
+            tx.lineage += [list(r) for r in new]
+        elif self.catalog is None:
+            self.rows += new
+        else:
+            self.catalog.commit(lambda tx: tx.lineage.extend(list(r) for r in new))
 
     def frame(self, spark: SparkSession) -> DataFrame:
-        return spark.createDataFrame(self.rows, SCHEMA)
+        if self.catalog is None or not self.catalog.current().id:
+            return spark.createDataFrame(self.rows, SCHEMA)
+        log = spark.read.schema("lineage array<array<string>>").json(f"{self.catalog.root}/_log")
+        e = log.select(F.explode("lineage").alias("e"))
+        return e.select(*[F.col("e")[i].cast(k).alias(n) for i, (n, k) in enumerate(c.split() for c in SCHEMA.split(", "))])
 
 
 def edges(events: DataFrame) -> DataFrame:

@@ -248,6 +248,18 @@ class Registry:
             raise Validation(f"unknown metric {index.metric} or kind {index.kind}")
         self.indexes[index.type, index.name] = index
 
+    def delete_link(self, source: str, name: str) -> None:
+        self.links.remove(self.link(source, name))
+
+    def delete_index(self, kind: str, name: str) -> None:
+        if (kind, name) not in self.indexes:
+            raise NotFound(f"{kind} has no index {name}")
+        del self.indexes[kind, name]
+
+    def delete_action(self, name: str) -> None:
+        self.action(name)
+        del self.actions[name]
+
     def define_action(self, action) -> None:
         self.actions[action.name] = action
 

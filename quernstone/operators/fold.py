@@ -39,8 +39,10 @@ def fold(df: DataFrame, identity: str, engine: str = "last_row", version: str |
 
 
 def precedence_fold(df: DataFrame, identity: str, kind: str = KIND, prec: str = "_prec") -> DataFrame:
-    """The row of greatest precedence of each identity; a tombstone hides it."""
-    won = df.groupBy(F.col(identity).alias("_id")).agg(F.max_by(F.struct(*df.columns), F.col(prec)).alias("_row"))
+    """The row of greatest precedence of each identity (of equal ones that of the
+    greatest hash of all columns, so any order of reading gives the same); a
+    tombstone hides it."""
+    won = df.groupBy(F.col(identity).alias("_id")).agg(F.max_by(F.struct(*df.columns), F.struct(F.col(prec), F.xxhash64(*df.columns))).alias("_row"))
     return won.select([F.col(f"_row.{c}").alias(c) for c in df.columns]).where(F.col(kind) != "-D").drop(kind, prec)
 
 

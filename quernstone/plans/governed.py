@@ -18,12 +18,14 @@ SMALL_SET = 1000
 
 @dataclass
 class Context:
-    """table: name and snapshot (None: the current one) to its DataFrame."""
+    """table: name and snapshot (None: the current one) to its DataFrame; catalog:
+    where kept indexes are, if there is one."""
 
     spark: SparkSession
     registry: Registry
     acl: Acl
     table: Callable[[str, object], DataFrame]
+    catalog: object = None
 
 
 @dataclass

@@ -1,14 +1,21 @@
-"""Vector search: exact distances, IVF-Flat, HNSW shards, cold and hot merged,
-governed.  Accumulates in double; ties go by identity."""
+"""Vector search: exact distances, IVF-Flat, HNSW shards, governed.
+
+An index is built once, at a snapshot, and kept as Parquet in the warehouse (rows
+sorted by cluster and the centroids, or the encoded graphs of the shards); its
+description is state of the catalog.  A search at a later snapshot takes the
+index's rows that haven't changed since (cold) and, exactly, those that have (hot).
+Accumulates in double; ties go by identity."""
 
 from __future__ import annotations
 
 import heapq
+import json
 import math
+import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..errors import DimensionMismatch, NoIndex, Validation
 from ..ontology import VectorIndex
@@ -42,6 +49,122 @@ def knn(df: DataFrame, id_col: str, vector_col: str, query: list[float], k: int,
     return df.where(F.col(vector_col).isNotNull()).select(id_col, near.alias("distance")).orderBy("distance", id_col).limit(k)
 
 
+QUERY_BYTES = 32 << 20  # of queries that go to every task at once
+
+
+def unit(x: np.ndarray, metric: str) -> np.ndarray:
+    return x if metric == "l2" else x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+
+
+def distances(q: np.ndarray, x: np.ndarray, metric: str) -> np.ndarray:
+    """All distances of unit() vectors, so rounded that equal vectors tie."""
+    if metric == "cosine":
+        return np.round(1 - q @ x.T, 12)
+    return np.round(np.sqrt(np.maximum((q * q).sum(1)[:, None] - 2 * q @ x.T + (x * x).sum(1), 0)), 12)
+
+
+class Nearest:
+    """The k nearest rows of each query among what has been seen."""
+
+    def __init__(self, n: int, k: int):
+        self.k, self.d, self.ids = k, [np.zeros(0)] * n, [np.zeros(0, object)] * n
+
+    def add(self, which: np.ndarray, d: np.ndarray, ids: np.ndarray) -> None:
+        """d: a row for each of the queries in which, a column for each id, sorted by id."""
+        order = np.argsort(d, axis=1, kind="stable")[:, : self.k]
+        for r, q in enumerate(which.tolist()):
+            far = np.concatenate([self.d[q], d[r, order[r]]])
+            all_ids = np.concatenate([self.ids[q], ids[order[r]]])
+            best = sorted(range(len(far)), key=lambda i: (far[i], all_ids[i]))[: self.k]
+            self.d[q], self.ids[q] = far[best], all_ids[best]
+
+    def batch(self, qids: list, kinds: list) -> pa.RecordBatch:
+        n = [len(x) for x in self.d]
+        columns = [[q for q, c in zip(qids, n) for _ in range(c)], [i for x in self.ids for i in x.tolist()], [float(v) for x in self.d for v in x]]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [*kinds, pa.float64()])], ["query_id", "id", "distance"])
+
+
+def matrix(column, dim: int) -> np.ndarray:
+    """The vectors of an Arrow list column without nulls."""
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    if len(flat) != len(column) * dim or (np.diff(column.offsets.to_numpy()) != dim).any():
+        raise ValueError("vectors of another dimension")
+    return flat.reshape(-1, dim)
+
+
+def query_blocks(queries: DataFrame):
+    """(ids, vectors) of a stated query set (query_id, vector), in blocks of about
+    QUERY_BYTES each, measured first."""
+    real = queries.where("vector IS NOT NULL")
+    size = 8 * (real.agg(F.sum(F.size("vector"))).first()[0] or 0)
+    parts = max(1, -(-size // QUERY_BYTES))
+    for p in range(parts):
+        rows = real.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == p).select("query_id", "vector").collect()
+        if rows:
+            rows.sort(key=lambda r: r[0])
+            yield [r[0] for r in rows], np.array([r[1] for r in rows], np.float64)
+
+
+def knn_many(df: DataFrame, id_col: str, vector_col: str, queries: DataFrame, k: int, metric: str = "cosine", probes=None) -> DataFrame:
+    """(query_id, id_col, distance) of each query's k nearest rows: a block of
+    queries meets every row once, each task keeps k rows a query, and the tasks'
+    rows are merged.  probes: gives, for queries' vectors, the clusters each looks
+    into; rows then have a column cluster."""
+    if not 1 <= k <= K_MAX:
+        raise Validation(f"k is 1 to {K_MAX}")
+    spark = df.sparkSession
+    columns = [id_col, vector_col] + ["cluster"] * (probes is not None)
+    rows = df.where(F.col(vector_col).isNotNull()).select(*columns)
+    qkind, ikind = queries.schema["query_id"].dataType, rows.schema[id_col].dataType
+    schema = f"query_id {qkind.simpleString()}, id {ikind.simpleString()}, distance double"
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    kinds, found = [to_arrow_type(qkind), to_arrow_type(ikind)], None
+    for ids, vectors in query_blocks(queries):
+        q = unit(vectors, metric)
+        looks = probes(vectors) if probes is not None else None
+        part = rows if looks is None else rows.where(F.col("cluster").isin(sorted({int(c) for x in looks for c in x})))
+        shared = spark.sparkContext.broadcast((ids, q, looks))  # QUERY_BYTES about
+
+        def run(batches, shared=shared):
+            ids, q, looks = shared.value
+            best = Nearest(len(ids), k)
+            by: dict[int, list[int]] = {}
+            for i, x in enumerate(looks or []):
+                for c in x:
+                    by.setdefault(int(c), []).append(i)
+            for b in batches:
+                if not b.num_rows:
+                    continue
+                x, names = unit(matrix(b.column(1), q.shape[1]), metric), np.array(b.column(0).to_pylist(), object)
+                order = np.array(sorted(range(len(names)), key=names.__getitem__))
+                x, names = x[order], names[order]
+                if looks is None:
+                    for lo in range(0, len(ids), 1024):
+                        which = np.arange(lo, min(lo + 1024, len(ids)))
+                        best.add(which, distances(q[which], x, metric), names)
+                else:
+                    cluster = np.asarray(b.column(2).to_pylist())[order]
+                    for c in np.unique(cluster).tolist():
+                        if c in by:
+                            which, mine = np.array(by[c]), cluster == c
+                            best.add(which, distances(q[which], x[mine], metric), names[mine])
+            yield best.batch(ids, kinds)
+
+        got = part.mapInArrow(run, schema)
+        found = got if found is None else found.unionByName(got)
+    if found is None:
+        found = spark.createDataFrame([], schema)
+    return top(found, k).withColumnRenamed("id", id_col)
+
+
+def top(found: DataFrame, k: int) -> DataFrame:
+    """Each query's k nearest, an id once."""
+    once = found.groupBy("query_id", "id").agg(F.min("distance").alias("distance"))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "id"))
+    return once.withColumn("_r", rank).where(F.col("_r") <= k).drop("_r")
+
+
 def kmeans(x: np.ndarray, k: int, seed: int = 17, rounds: int = 20) -> np.ndarray:
     """k-means++ and Lloyd's rounds; an empty cluster keeps its centre."""
     rng = np.random.default_rng(seed)
@@ -81,9 +204,7 @@ def build_ivf(df: DataFrame, id_col: str, vector_col: str, metric: str = "cosine
 
     def assign(batches):
         for b in batches:
-            v = np.array(b.column(1).to_pylist(), np.float64).reshape(b.num_rows, -1)
-            if metric == "cosine" and len(v):
-                v = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
+            v = unit(matrix(b.column(1), shared.value.shape[1]), metric) if b.num_rows else np.zeros((0, 1))
             cluster = nearest(v, shared.value) if len(v) else np.zeros(0)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cluster, pa.int32())], [*b.schema.names, "cluster"])
 
@@ -93,9 +214,7 @@ def build_ivf(df: DataFrame, id_col: str, vector_col: str, metric: str = "cosine
 
 def probe(centres: np.ndarray, query: list[float], metric: str, nprobe: int | None = None) -> list[int]:
     """The clusters to look into; nprobe: the root of their number."""
-    q = np.array(query, np.float64)
-    if metric == "cosine":
-        q = q / max(np.linalg.norm(q), 1e-300)
+    q = unit(np.array([query], np.float64), metric)[0]
     d = ((centres - q) ** 2).sum(1)
     return np.argsort(d, kind="stable")[: nprobe or max(1, round(math.sqrt(len(centres))))].tolist()
 
@@ -191,6 +310,90 @@ class Hnsw:
         return [i for _, i in self._layer(q, at, max(ef, k), 0)[:k]]
 
 
+    def encode(self) -> bytes:
+        """Header (JSON), vectors, and the links level by level."""
+        flat = [j for node in self.links for level in node for j in level]
+        counts = [len(level) for node in self.links for level in node]
+        head = json.dumps({"v": 1, "metric": self.metric, "m": self.m, "ef": self.ef, "entry": self.entry, "n": len(self.x), "dim": len(self.x[0]) if self.x else 0, "levels": [len(node) for node in self.links]}).encode()
+        return len(head).to_bytes(4, "little") + head + np.array(self.x, "<f8").tobytes() + np.array(counts, "<i4").tobytes() + np.array(flat, "<i4").tobytes()
+
+    @classmethod
+    def decode(cls, raw: bytes) -> Hnsw:
+        size = int.from_bytes(raw[:4], "little")
+        head = json.loads(raw[4 : 4 + size])
+        if head.get("v") != 1:
+            raise Validation("unknown index format")
+        out = cls(head["metric"], head["m"], head["ef"])
+        at = 4 + size
+        x = np.frombuffer(raw, "<f8", head["n"] * head["dim"], at).reshape(head["n"], -1) if head["n"] else np.zeros((0, 0))
+        at += x.size * 8
+        counts = np.frombuffer(raw, "<i4", sum(head["levels"]), at).tolist()
+        flat = np.frombuffer(raw, "<i4", -1, at + 4 * len(counts)).tolist()
+        out.x, out.entry, c, f = list(x), head["entry"], 0, 0
+        for levels in head["levels"]:
+            node = []
+            for n in counts[c : c + levels]:
+                node.append(flat[f : f + n])
+                f += n
+            out.links.append(node)
+            c += levels
+        return out
+
+
+def build_hnsw(df: DataFrame, id_col: str, vector_col: str, metric: str = "cosine", m: int = 16, ef_construction: int = 200, shard_rows: int = 20_000) -> DataFrame:
+    """(ids, graph): the encoded graph of each shard of rows."""
+    rows = df.where(F.col(vector_col).isNotNull()).select(id_col, vector_col)
+    kind = rows.schema[id_col].dataType.simpleString()
+
+    def run(batches):
+        ids, graph, schema = [], Hnsw(metric, m, ef_construction), None
+
+        def row():
+            return pa.RecordBatch.from_arrays([pa.array([ids], pa.list_(schema[0].type)), pa.array([graph.encode()], pa.binary())], ["ids", "graph"])
+
+        for b in batches:
+            schema = b.schema
+            for i, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                ids.append(i)
+                graph.add(v)
+                if len(ids) == shard_rows:
+                    yield row()
+                    ids, graph = [], Hnsw(metric, m, ef_construction)
+        if ids:
+            yield row()
+
+    return rows.mapInArrow(run, f"ids array<{kind}>, graph binary")
+
+
+def hnsw_many(shards: DataFrame, queries: DataFrame, k: int, metric: str, ef_search: int = 64) -> DataFrame:
+    """(query_id, id, distance): each shard's ef_search best for each query."""
+    spark = shards.sparkSession
+    qkind, ikind = queries.schema["query_id"].dataType, shards.schema["ids"].dataType.elementType
+    schema = f"query_id {qkind.simpleString()}, id {ikind.simpleString()}, distance double"
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    kinds, found = [to_arrow_type(qkind), to_arrow_type(ikind)], spark.createDataFrame([], schema)
+    for ids, vectors in query_blocks(queries):
+        shared = spark.sparkContext.broadcast((ids, vectors))  # QUERY_BYTES about
+
+        def run(batches, shared=shared):
+            qids, vectors = shared.value
+            q = unit(vectors, metric)
+            for b in batches:
+                for names, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                    graph = Hnsw.decode(raw)
+                    best = Nearest(len(qids), max(k, ef_search))
+                    for i in range(len(qids)):
+                        hits = graph.search(vectors[i], max(k, ef_search), max(k, ef_search))
+                        hits.sort(key=lambda j: names[j])
+                        x = np.array([graph.x[j] for j in hits])
+                        best.add(np.array([i]), distances(q[i : i + 1], x, metric), np.array([names[j] for j in hits], object))
+                    yield best.batch(qids, kinds)
+
+        found = found.unionByName(shards.mapInArrow(run, schema))
+    return found
+
+
 def hnsw_search(df: DataFrame, id_col: str, vector_col: str, query: list[float], k: int, metric: str = "cosine", m: int = 16, ef_construction: int = 200, ef_search: int = 64, shard_rows: int = 20_000) -> DataFrame:
     """Each shard of rows builds its graph and gives k candidates, whose exact
     distances are merged."""
@@ -221,9 +424,106 @@ def hnsw_search(df: DataFrame, id_col: str, vector_col: str, query: list[float],
     return knn(near, id_col, vector_col, query, k, metric)
 
 
-def governed_knn(ctx: Context, subject: str, type_name: str, index_name: str, query: list[float], k: int, nprobe: int | None = None, ef_search: int | None = None, at=None) -> DataFrame:
-    """Nearest objects that the subject may see, once each; may be fewer than k."""
-    g = governed(ctx, subject, type_name, at)
+CALIBRATION, TARGET = 200, 0.95  # queries that fix an index's default nprobe, and the recall they must reach
+
+
+class IndexStore:
+    """Kept indexes of a catalog's tables."""
+
+    def __init__(self, ctx: Context):
+        self.ctx, self.catalog = ctx, ctx.catalog
+
+    def build(self, type_name: str, name: str) -> dict:
+        """Builds the index at the current snapshot; its description (kind, metric,
+        snapshot, rows, path and knobs) is committed once its files are there."""
+        index: VectorIndex | None = self.ctx.registry.indexes.get((type_name, name))
+        if index is None:
+            raise NoIndex(f"{type_name} has no index {name}")
+        t, at = self.ctx.registry.type(type_name), self.catalog.current()
+        rows = self.ctx.table(t.table, at).select(t.identity, index.property)
+        path = f"{self.catalog.root}/indexes/{type_name}-{name}/{uuid.uuid4().hex}"
+        spark, about = rows.sparkSession, {}
+        if index.kind == "ivf_flat":
+            centres, clustered = build_ivf(rows, t.identity, index.property, index.metric, index.nlist)
+            clustered.repartitionByRange("cluster", t.identity).sortWithinPartitions("cluster").write.parquet(f"{path}/rows")
+            spark.createDataFrame([(i, [float(v) for v in c]) for i, c in enumerate(centres)], "cluster int, centre array<double>").coalesce(1).write.parquet(f"{path}/centres")
+            kept = spark.read.schema(clustered.schema).parquet(f"{path}/rows")
+            about = {"nlist": len(centres), "nprobe": self._calibrated(kept, centres, t.identity, index)}
+        elif index.kind == "hnsw":
+            shards = build_hnsw(rows, t.identity, index.property, index.metric, index.m, index.ef_construction)
+            shards.write.parquet(f"{path}/shards")
+        meta = {"kind": index.kind, "metric": index.metric, "property": index.property, "identity": t.identity, "table": t.table, "snapshot": at.id, "path": path, **about}
+
+        def change(tx):
+            have = tx.state.setdefault("indexes", {})
+            old = have.get(f"{type_name}/{name}")
+            if old is None or old["snapshot"] <= meta["snapshot"]:
+                have[f"{type_name}/{name}"] = meta
+
+        self.catalog.commit(change)
+        return meta
+
+    def _calibrated(self, kept: DataFrame, centres: np.ndarray, identity: str, index: VectorIndex) -> int:
+        """The least nprobe with which CALIBRATION rows as queries find TARGET of
+        their ten nearest; the root of nlist at least."""
+        queries = kept.select(F.col(identity).alias("query_id"), F.col(index.property).alias("vector")).orderBy(F.xxhash64("query_id")).limit(CALIBRATION)
+        near = knn_many(kept, identity, index.property, queries, 10, index.metric)
+        where = kept.select(identity, "cluster")
+        pairs = near.join(F.broadcast(queries.select("query_id", "vector")), "query_id").join(where, identity).select("vector", "cluster").collect()  # ten for each query
+        least = max(1, round(math.sqrt(len(centres))))
+        if not pairs:
+            return least
+        q = unit(np.array([r[0] for r in pairs], np.float64), index.metric)
+        d = (centres * centres).sum(1) - 2 * q @ centres.T
+        own = d[np.arange(len(pairs)), [r[1] for r in pairs]]
+        rank = np.sort((d < own[:, None]).sum(1))
+        return max(least, int(rank[min(len(rank) - 1, math.ceil(TARGET * len(rank)) - 1)]) + 1)
+
+    def meta(self, type_name: str, name: str, at) -> dict | None:
+        """The index as known at a snapshot."""
+        if self.catalog is None or not at.id:
+            return None
+        return self.catalog._version(at.id)["state"].get("indexes", {}).get(f"{type_name}/{name}")
+
+    def changed(self, meta: dict, at) -> DataFrame | None:
+        """The identities of rows landed, changed or deleted after the build; None if none are."""
+        cat, table = self.catalog, meta["table"]
+        now = cat.entry(table, at)
+        before = {f["path"] for f in cat._version(cat._version(meta["snapshot"])["tables"][table])["entries"][table]["files"]}
+        paths = cat.paths([f for f in now["files"] if f["path"] not in before] + [f for f in now["inline"] if f["begin"] > meta["snapshot"]])
+        if not paths:
+            return None
+        return self.ctx.spark.read.schema(cat.schema(table, at)).parquet(*paths).select(meta["identity"]).distinct()
+
+    def centres(self, meta: dict) -> np.ndarray:
+        rows = self.ctx.spark.read.parquet(f"{meta['path']}/centres").collect()  # nlist of them
+        return np.array([r["centre"] for r in sorted(rows, key=lambda r: r["cluster"])])
+
+    def cold(self, meta: dict, queries: DataFrame, k: int, changed: DataFrame | None, nprobe: int | None, ef_search: int | None) -> DataFrame:
+        """(query_id, id, distance) among the index's rows that haven't changed."""
+        spark, i = self.ctx.spark, meta["identity"]
+        if meta["kind"] == "hnsw":
+            found = hnsw_many(spark.read.parquet(f"{meta['path']}/shards"), queries, k, meta["metric"], ef_search or 64)
+            return found if changed is None else found.join(changed.select(F.col(i).alias("id")), "id", "left_anti")
+        rows = spark.read.parquet(f"{meta['path']}/rows")
+        if changed is not None:
+            rows = rows.join(changed, i, "left_anti")
+        centres = self.centres(meta)
+        probes = lambda x: [probe(centres, q, meta["metric"], nprobe or meta["nprobe"]) for q in x]
+        return knn_many(rows, i, meta["property"], queries, k, meta["metric"], probes).withColumnRenamed(i, "id")
+
+    def search(self, meta: dict, queries: DataFrame, k: int, at, nprobe: int | None = None, ef_search: int | None = None) -> DataFrame:
+        """Cold and hot hits merged: (query_id, id, distance)."""
+        changed = self.changed(meta, at)
+        found = self.cold(meta, queries, k, changed, nprobe, ef_search)
+        if changed is not None:
+            i = meta["identity"]
+            hot = self.ctx.table(meta["table"], at).join(changed, i, "left_semi")
+            found = found.unionByName(knn_many(hot, i, meta["property"], queries, k, meta["metric"]).withColumnRenamed(i, "id").select("query_id", "id", "distance"))
+        return top(found, k)
+
+
+def _index_for(ctx: Context, g, type_name: str, index_name: str, nprobe, ef_search) -> VectorIndex:
     index: VectorIndex | None = ctx.registry.indexes.get((type_name, index_name))
     if index is None:
         raise NoIndex(f"{type_name} has no index {index_name}")
@@ -231,9 +531,43 @@ def governed_knn(ctx: Context, subject: str, type_name: str, index_name: str, qu
         raise Validation("nprobe is for ivf_flat")
     if ef_search is not None and index.kind != "hnsw":
         raise Validation("ef_search is for hnsw")
+    return index
+
+
+def governed_knn_many(ctx: Context, subject: str, type_name: str, index_name: str, queries: DataFrame, k: int, nprobe: int | None = None, ef_search: int | None = None, at=None) -> DataFrame:
+    """(query_id, identity, distance) for each of queries (query_id, vector): the
+    nearest objects that the subject may see; may be fewer than k.  A flat index
+    needs no build; the others must have been built."""
+    g = governed(ctx, subject, type_name, at)
+    index = _index_for(ctx, g, type_name, index_name, nprobe, ef_search)
+    i = g.identity()
+    if index.kind == "flat":
+        found = knn_many(ctx.table(g.type.table, at), i, index.property, queries, k, index.metric)
+    else:
+        store = IndexStore(ctx)
+        now = at or (ctx.catalog.current() if ctx.catalog is not None else None)
+        meta = store.meta(type_name, index_name, now) if now else None
+        if meta is None:
+            raise NoIndex(f"{index_name} of {type_name} isn't built")
+        found = store.search(meta, queries, k, now, nprobe, ef_search).withColumnRenamed("id", i)
+    return found.join(g.raw.select(i).distinct(), i, "left_semi").select("query_id", i, "distance")
+
+
+def governed_knn(ctx: Context, subject: str, type_name: str, index_name: str, query: list[float], k: int, nprobe: int | None = None, ef_search: int | None = None, at=None) -> DataFrame:
+    """Nearest objects that the subject may see, once each; may be fewer than k.
+    An index that was never built is made for the one search."""
+    g = governed(ctx, subject, type_name, at)
+    index = _index_for(ctx, g, type_name, index_name, nprobe, ef_search)
     if dimension(g.type.prop(index.property).type) != len(query):
         raise DimensionMismatch(f"the index has vectors of {g.type.prop(index.property).type}")
     i = g.identity()
+    if index.kind != "flat" and ctx.catalog is not None:
+        store, now = IndexStore(ctx), at or ctx.catalog.current()
+        meta = store.meta(type_name, index_name, now)
+        if meta is not None and meta["table"] == g.type.table:
+            one = ctx.spark.createDataFrame([(0, [float(x) for x in query])], "query_id int, vector array<double>")
+            hits = store.search(meta, one, k, now, nprobe, ef_search).select(F.col("id").alias(i), "distance")
+            return hits.join(g.raw.select(i), i, "left_semi").groupBy(i).agg(F.min("distance").alias("distance")).orderBy("distance", i)
     all_rows = ctx.table(g.type.table, at)
     if index.kind == "ivf_flat":
         centres, clustered = build_ivf(all_rows, i, index.property, index.metric, index.nlist)
@@ -244,8 +578,3 @@ def governed_knn(ctx: Context, subject: str, type_name: str, index_name: str, qu
         hits = knn(all_rows, i, index.property, query, k, index.metric)
     kept = hits.join(g.raw.select(i), i, "left_semi")
     return kept.groupBy(i).agg(F.min("distance").alias("distance")).orderBy("distance", i)
-
-
-def merged(cold: DataFrame, hot: DataFrame, id_col: str, k: int) -> DataFrame:
-    """The k nearest of an index's hits and of exact hits over newer rows."""
-    return cold.unionByName(hot).groupBy(id_col).agg(F.min("distance").alias("distance")).orderBy("distance", id_col).limit(k)

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from ..errors import Validation
+from ..errors import ResourceExhausted, Validation
 
 
 def decode_stream(spark: SparkSession, body: bytes) -> DataFrame:
@@ -20,9 +20,14 @@ def decode_stream(spark: SparkSession, body: bytes) -> DataFrame:
         raise Validation(f"no Arrow stream: {e}") from None
 
 
-def encode_stream(df: DataFrame) -> bytes:
-    """A result of bounded size as an Arrow IPC stream."""
-    table, sink = df.toArrow(), io.BytesIO()
+STREAM_MAX = 1_000_000  # rows of a stream that is made in the driver
+
+
+def encode_stream(df: DataFrame, most: int = STREAM_MAX) -> bytes:
+    """A result of at most so many rows as an Arrow IPC stream; an error beyond."""
+    table, sink = df.limit(most + 1).toArrow(), io.BytesIO()
+    if table.num_rows > most:
+        raise ResourceExhausted(f"more than {most} rows")
     with pa.ipc.new_stream(sink, table.schema) as writer:
         writer.write_table(table)
     return sink.getvalue()

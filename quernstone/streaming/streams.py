@@ -63,8 +63,12 @@ class Streams:
             first = {int(b): n for b, n in self.meta(table, at)["next"].items()}
             new = self.catalog.write_files(table, make(first))
             ahead: dict[int, int] = dict(first)
+            meta = self.meta(table, at)
             framed = T.StructType.fromJson(self.catalog.entry(table, at)["schema"])
-            if new:
+            if meta["stream"] == "log":  # rows are dealt to buckets in turn
+                n, rows = meta["buckets"], sum(f["rows"] for f in new)
+                ahead = {b: first[b] + max(0, rows - b + n - 1) // n for b in first}
+            elif new:
                 for r in self.catalog.spark.read.schema(framed).parquet(*self.catalog.paths(new)).groupBy(BUCKET).agg(F.max(OFFSET).alias("m")).collect():  # a row for each bucket
                     ahead[r[BUCKET]] = r["m"] + 1
 
@@ -155,9 +159,11 @@ class Streams:
 
         return self.catalog.commit(change)
 
-    def page(self, table: str, cursor: str | None = None, start: str = "earliest", limit: int = BATCH) -> tuple[list, str]:
+    def page(self, table: str, cursor: str | None = None, start: str = "earliest", limit: int = BATCH, condition=None) -> tuple[list, str]:
         """(events in bucket and offset order, cursor for the next page) at one
-        snapshot.  A cursor names the table; buckets it lacks start at 0."""
+        snapshot.  A cursor names the table; buckets it lacks start at 0.  Of a
+        page's events only those under condition are collected; the cursor moves
+        past the others too."""
         at = self.catalog.current()
         meta = self.meta(table, at)
         live = {int(b): n for b, n in meta["next"].items()}
@@ -173,9 +179,16 @@ class Streams:
             at_offset = {b: 0 if start == "earliest" else n for b, n in live.items()}
         else:
             raise Validation(f"unknown start {start}")
-        rows = feed(self.events(table, at), at_offset, limit).collect()  # limit rows
-        for r in rows:
-            at_offset[r[BUCKET]] = r[OFFSET] + 1
+        page = feed(self.events(table, at), at_offset, limit)
+        if condition is not None:
+            page = page.select("*", F.coalesce(condition, F.lit(False)).alias("_fine"))
+            ends = page.groupBy(BUCKET).agg(F.max(OFFSET).alias("m")).collect()  # a row for each bucket
+            at_offset |= {r[BUCKET]: r["m"] + 1 for r in ends}
+            rows = page.where("_fine").drop("_fine").collect() if ends else []
+        else:
+            rows = page.collect()  # limit rows
+            for r in rows:
+                at_offset[r[BUCKET]] = r[OFFSET] + 1
         raw = json.dumps({"t": table, "b": {str(b): n for b, n in at_offset.items()}})
         return rows, base64.urlsafe_b64encode(raw.encode()).decode()
 

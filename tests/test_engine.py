@@ -47,7 +47,7 @@ def test_catalog_lifecycle(eng, spark):
     read = lambda at=None: sorted((r.id, r.name) for r in cat.scan("main.person", at).collect())
     first = read()
     cat.land("main.person", people(spark, [(5, "eve", 1, None)]), size=10)
-    assert len(cat.entry("main.person")["inline"]) == 1 and len(read()) == 5 and cat.row_count("main.person") == 5
+    assert len(cat.entry("main.person")["inline"]) == 1 and len(read()) == 5 and cat.row_count("main.person") == 4
     assert cat.flush("main.person") is None  # inline rows shadow files
     before = read()
     cat.consolidate("main.person")
@@ -404,6 +404,74 @@ def test_vector_search(eng, spark):
             eng.search("u", "Doc", k=5, **kw)
 
 
+def test_hnsw_codec():
+    import numpy as np
+
+    from quernstone.plans.search import Hnsw
+
+    rng = np.random.default_rng(1)
+    g = Hnsw("l2", 4, 20)
+    for v in rng.normal(size=(80, 5)):
+        g.add(v)
+    back = Hnsw.decode(g.encode())
+    assert back.links == g.links and back.search(g.x[7], 5, 20) == g.search(g.x[7], 5, 20) and Hnsw.decode(Hnsw().encode()).search([1.0], 3, 3) == []
+
+
+def test_kept_indexes(eng, spark):
+    schema = T.StructType([T.StructField("id", T.LongType(), False), T.StructField("e", T.ArrayType(T.FloatType(), False))])
+    rows = lambda a, b, s=1.0: spark.createDataFrame([(i, [float(i) * s, 1.0]) for i in range(a, b)], schema)
+    eng.registry.define_type(ObjectType("Doc", "main.vecs", (Property("id", "long", True), Property("e", "vector(2)")), "id"))
+    eng.acl.grant("r", "Doc")
+    for kind in ("ivf_flat", "hnsw"):
+        eng.registry.define_index(VectorIndex(kind, "Doc", "e", "l2", kind))
+    eng.catalog.create("main.vecs", schema, identity="id")
+    eng.land("main.vecs", rows(0, 60))
+    before = eng.catalog.current()
+    for kind in ("ivf_flat", "hnsw"):
+        assert eng.build_index("Doc", kind)["snapshot"] >= before.id
+    built = eng.catalog.current()
+    hit = lambda kind, at=None: ids(eng.search("u", "Doc", kind, [30.0, 1.0], 3, at=at))
+    assert [hit(k) for k in ("ivf_flat", "hnsw")] == [[29, 30, 31]] * 2
+    eng.land("main.vecs", rows(100, 101, 0.3))  # (30, 1) once more
+    assert [j.name for j in eng.transforms.queue.jobs] == ["build_index", "build_index"]
+    eng.catalog.mutate("main.vecs", rows(29, 30).withColumn("_chg_kind", eng_lit("-D")))
+    assert [hit(k) for k in ("ivf_flat", "hnsw")] == [[30, 31, 100]] * 2
+    assert [hit(k, built) for k in ("ivf_flat", "hnsw")] == [[29, 30, 31]] * 2
+    assert len(eng.transforms.tick()) == 2 and not eng.transforms.queue.jobs
+    assert [hit(k) for k in ("ivf_flat", "hnsw")] == [[30, 31, 100]] * 2
+
+
+def eng_lit(x):
+    from pyspark.sql import functions as F
+
+    return F.lit(x)
+
+
+def test_state_survives_the_process(eng, spark):
+    """Definitions, jobs and lineage are read back by another engine on the warehouse."""
+    eng.transforms.define(Transform("copy", "SELECT id FROM person", ("main.person",), "main.copy", mode="overwrite", triggers=("main.person",)))
+    eng.land("main.person", people(spark, [(9, "zed", 1, 1)]))
+    other = Engine(spark, eng.catalog.root, clock=lambda: eng.now[0])
+    assert [j.name for j in other.transforms.queue.jobs] == ["transform"] and other.transforms.tick() == ["copy"]
+    assert eng.catalog.scan("main.copy").count() == 5 and not eng.transforms.queue.jobs
+    version = eng.catalog._version(eng.catalog.entry("main.copy") and eng.catalog.current().tables["main.copy"])
+    assert [(e[2], e[3]) for e in version["lineage"]] == [("complete", "main.person"), ("complete", "main.copy")]
+    assert {r.state for r in other.lineage.frame(spark).where("dataset = 'main.copy'").collect()} == {"complete"}
+    for i in range(10, 18):
+        eng.land("main.copy", spark.createDataFrame([(i,)], "id long"))
+    assert [j.name for j in eng.transforms.queue.jobs] == ["compact"] and eng.transforms.tick() == ["compact"]
+    assert len(eng.catalog.entry("main.copy")["files"]) < 8 and eng.catalog.scan("main.copy").count() == 13
+
+
+def test_footers(eng, spark):
+    from pyspark.sql import functions as F
+
+    df = spark.range(100).select("id", F.when(F.col("id") < 50, F.concat(F.lit("s"), "id")).alias("s"), F.when(F.col("id") == 3, F.lit(float("nan"))).otherwise(F.col("id") / 2).alias("d"), F.lit(None).cast("long").alias("n"), F.array("id").alias("a"))
+    (f,) = eng.catalog.write_files("main.foot", df.coalesce(1))
+    assert f["rows"] == 100 and f["stats"]["id"] == {"nulls": 0, "min": 0, "max": 99} and f["stats"]["s"] == {"nulls": 50, "min": "s0", "max": "s9"}
+    assert "min" not in f["stats"]["d"] and f["stats"]["n"]["nulls"] == 100
+
+
 def test_memory_sources(spark):
     from quernstone.sources.arrow import batches, decode_stream, encode_stream
 

@@ -186,7 +186,7 @@ def test_pruning_never_loses_rows(values, op, x, y):
 
 
 def test_files_by_size():
-    assert file_count(0) == 1 and file_count(1 << 30) == 3 and file_count(1 << 50) == 64
+    assert file_count(0) == 1 and file_count(1 << 30) == 3 and file_count(1 << 50) == 2516583 and file_count(1 << 50, 64) == 64
 
 
 def test_cron():
@@ -211,8 +211,12 @@ def test_triggers_and_queue():
     assert q.put("j", {"n": 1}, dedupe=True) is None
     high = q.put("k", priority=5)
     q.put("later", run_at=10)
-    assert q.claim() is high and q.claim().name == "j" and q.claim() is None
+    assert q.claim().id == high.id and q.claim().name == "j" and q.claim() is None
     now[0] = 100
-    assert [j.name for j in q.reconcile(50)] == ["j", "k"] and q.claim() is high
+    assert [j.name for j in q.reconcile(50)] == ["j", "k"] and q.claim(["other"]) is None
+    high = q.claim()
+    assert high.name == "k" and high.attempts == 2
     q.failed(high)
     assert high.state == "abandoned"
+    q.done(q.claim())
+    assert [j.name for j in q.jobs] == ["k", "later"] or [j.name for j in q.jobs] == ["j", "k"]
