@@ -20,9 +20,36 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/quern-{uuid.uuid4().hex}"
 
 
+_scopes: list[list[str]] = []
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df written to the shared folder and read again: cuts its lineage, and
     what follows survives lost executors without computing it anew."""
     path = shared_dir(df.sparkSession)
+    if _scopes:
+        _scopes[-1].append(path)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._quern_path = path
+    return out
+
+
+def settled(spark: SparkSession, make) -> DataFrame:
+    """cut(make()); what make() has cut on its way is deleted after that."""
+    _scopes.append([])
+    try:
+        made = make()
+        inner = _scopes[-1]
+    finally:
+        _scopes.pop()
+    out = cut(made)
+    discard(spark, inner)
+    return out
+
+
+def discard(spark: SparkSession, what: list[str] | DataFrame) -> None:
+    """Deletes folders made by cut(), or the one that a DataFrame of cut() reads."""
+    for path in [what._quern_path] if isinstance(what, DataFrame) else what:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
