@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quernstone.llm import bpe, decontam, jaccard, langid, line_dedup
-from quernstone.llm.spark_util import cut, table
+from quernstone.llm.spark_util import discard, settled, table
 from quernstone.shipping import shipped
 
 
@@ -60,7 +60,12 @@ ORACLE_SQL = None  # language ID, alignment and BPE are beyond SQL; tests/llm/te
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """Each stage's result is written; what the stage needed on its way, and the
+    result before, is deleted then."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for _, stage in STAGES:
-        docs = cut(stage(spark, docs, sf_dir))
+        docs = settled(spark, lambda stage=stage, docs=docs: stage(spark, docs, sf_dir))
+        if before is not None:
+            discard(spark, before)
+        before = docs
     return docs

@@ -22,7 +22,8 @@ the matrix.
 
 Defined results: null or empty texts have no leak; items with fewer words than
 a seed are matched by all their words as one seed; null items are none;
-repeated rows are documents; other columns stay.
+repeated rows are documents; of alignments of equal score the first in the text
+is told; other columns stay, but for one named leaks.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import textnum as X
-from .spark_util import arrow_map, extend, table
+from .spark_util import arrow_map, extend, fresh, table
 
 SEED = 3
 RARE, MAX_DF = 8, 50
@@ -235,7 +236,7 @@ def find_leaks(df: DataFrame, benchmark: DataFrame, text_col: str = "text", min_
         for r in counts.collect():  # one row for each seed of this part
             df_of_seed[r[0]] = r[1]
         rare = spark.sparkContext.broadcast(rare_pairs(items, df_of_seed))
-        name = "leaks" if parts == 1 else f"leaks_{p}"
+        name = "leaks" if parts == 1 else fresh(out, f"leaks_{p}")
 
         def run(column, shared=shared, rare=rare):
             return (pa.array(leaks_of(shared.value, rare.value, column, min_score), LEAK),)

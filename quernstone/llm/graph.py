@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from .spark_util import cut, skew_join
+from .spark_util import cut, discard, settled, skew_join
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -18,7 +18,8 @@ def components(edges: DataFrame) -> DataFrame:
     of its component, itself included."""
     e = cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct())
     mark = _mark(e)
-    while True:
+
+    def round_(e: DataFrame) -> DataFrame:
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).select("a", F.least("a", "m").alias("m"), "n")
         met = skew_join(both, least, ["a"], "n", 2 * mark[0])
@@ -26,7 +27,11 @@ def components(edges: DataFrame) -> DataFrame:
         least = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
         met = skew_join(large, least, ["a"], "n", 2 * mark[0])
         small = met.select(F.inline(F.array(F.struct(F.col("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))))
-        e = cut(small.where("a != b").distinct())
+        return small.where("a != b").distinct()
+
+    while True:
+        before, e = e, settled(edges.sparkSession, lambda: round_(e))
+        discard(edges.sparkSession, before)
         now = _mark(e)
         if now == mark:
             break

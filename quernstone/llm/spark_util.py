@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..sources.scratch import cut, shared_dir  # noqa: F401  for the operators
+from ..sources.scratch import cut, discard, settled, shared_dir  # noqa: F401  for the operators
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,7 +23,7 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
-BATCH_ROWS = 4000  # documents in an Arrow batch, where the session has Spark's own 10,000
+BATCH_BYTES = 8 << 20  # of an Arrow batch that Python code works on at once, or one row of more
 
 
 def release() -> None:
@@ -41,17 +41,20 @@ def release() -> None:
 
 
 def arrow_map(df: DataFrame, function, schema) -> DataFrame:
-    """df.mapInArrow with batches of a bounded size, tidied up after each task."""
+    """df.mapInArrow with batches of about BATCH_BYTES, tidied up after each task."""
+
+    def small(batches):
+        for b in batches:
+            step = max(1, b.num_rows * BATCH_BYTES // max(b.nbytes, 1))
+            for lo in range(0, b.num_rows, step):
+                yield b.slice(lo, step)
 
     def run(batches):
         try:
-            yield from function(batches)
+            yield from function(small(batches))
         finally:
             release()
 
-    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if conf.get(name) == "10000":
-        conf.set(name, str(BATCH_ROWS))
     return df.mapInArrow(run, schema)
 
 

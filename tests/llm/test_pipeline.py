@@ -74,3 +74,19 @@ def test_stages_keep_columns(spark):
         done = stage(spark, docs, "/root/testdata/sf0.001")
         assert done.columns == docs.columns
         done.collect()
+
+
+def test_stages_on_odd_tables(spark, tmp_path):
+    """Empty tables, clashing names, a very long text, repeated rows."""
+    names = "doc_id long, text string, lang string, source string, n_chars long, key string, t string, gone string, node string, leaks string, __key string, block string, pieces string"
+    long = " ".join(f"the word and of it{i % 977}" for i in range(200_000))
+    rows = [(i, t, "en", "s", 1, *["x"] * 8) for i, t in [(1, long), (2, "the cat and the dog were here again today"), (2, "the cat and the dog were here again today"), (3, None)]]
+    for data in (rows, []):
+        docs = spark.createDataFrame(data, names)
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            done = stage(spark, docs, "/root/testdata/sf0.001")
+            assert done.columns == docs.columns and done.count() <= len(data)
+    folder = str(tmp_path)
+    spark.createDataFrame([], names).write.parquet(f"{folder}/documents.parquet")
+    spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet").write.parquet(f"{folder}/benchmark.parquet")
+    assert corpus_pipeline.run(spark, folder).count() == 0

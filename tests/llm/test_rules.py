@@ -66,3 +66,14 @@ def test_another_salt_gives_the_same(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     a = {r.doc_id: r.text for r in line_dedup.dedup(docs).collect()}
     assert a == {r.doc_id: r.text for r in line_dedup.dedup(docs, salt=3).collect()}
+
+
+def test_clean_texts(spark):
+    common, own = "Share this page with all of your friends", "words of the document itself that nobody else has in them at all"
+    rows = [(i, f"{common}\n{own} {i}\n\n{common.upper()}", "h") for i in range(30)] + [(50, common, "h"), (51, f"{common}\n{own} x", "other"), (None, None, "h"), (-(2**63), f"{own} y", None), (None, f"{own} y", None)]
+    df = spark.createDataFrame([(*r, "clash") for r in rows], "doc_id long, text string, source string, gone string")
+    got = quality.clean(df)
+    assert got.columns == df.columns
+    want = [(i, f"{own} {i}\n", "h", "clash") for i in range(30)] + [(51, rows[31][1], "other", "clash"), (-(2**63), f"{own} y", None, "clash"), (None, f"{own} y", None, "clash")]
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, want))
+    assert quality.clean(df.limit(0)).count() == 0
