@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import time
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -145,6 +146,21 @@ class Engine:
             raise NotFound(f"view {name}")
         del self.views[name]
 
+    def save_model(self) -> int:
+        """Types, links, indexes, actions and views as state of the catalog."""
+        model = {**self.registry.to_dict(), "views": {n: list(v) for n, v in self.views.items()}}
+        return self.catalog.commit(lambda tx: tx.state.update(model=json.loads(json.dumps(model))))
+
+    def load_model(self) -> None:
+        """What save_model kept last, in place of what is defined here."""
+        now = self.catalog.current()
+        model = self.catalog._version(now.id)["state"].get("model") if now.id else None
+        if model is None:
+            raise NotFound("no model is kept")
+        new = Registry.from_dict(model)
+        self.registry.__dict__.update(new.__dict__)
+        self.views = {n: tuple(v) for n, v in model["views"].items()}
+
     # --- vector indexes
 
     def build_index(self, type_name: str, index: str) -> dict:

@@ -275,12 +275,14 @@ class Registry:
             out.setdefault(t.table, t)
         return out
 
-    def save(self, path: str) -> None:
-        Path(path).write_text(json.dumps({"types": [asdict(t) for t in self.types.values()], "links": [asdict(x) for x in self.links], "indexes": [asdict(i) for i in self.indexes.values()]}, indent=1))
+    def to_dict(self) -> dict:
+        return {"types": [asdict(t) for t in self.types.values()], "links": [asdict(x) for x in self.links], "indexes": [asdict(i) for i in self.indexes.values()], "actions": [asdict(a) for a in self.actions.values()]}
 
     @classmethod
-    def load(cls, path: str) -> Registry:
-        raw, out = json.loads(Path(path).read_text()), cls()
+    def from_dict(cls, raw: dict) -> Registry:
+        from .actions import Action, Assign, Step
+
+        out = cls()
         for t in raw["types"]:
             props = tuple(Property(**p | {"constraints": tuple(Constraint(**c | {"values": tuple(c["values"])}) for c in p["constraints"])}) for p in t["properties"])
             out.define_type(ObjectType(**t | {"properties": props, "derived": tuple(Derived(**d) for d in t["derived"])}))
@@ -288,4 +290,15 @@ class Registry:
             out.define_link(Link(**x))
         for i in raw["indexes"]:
             out.define_index(VectorIndex(**i))
+        for a in raw.get("actions", []):
+            steps = tuple(Step(**s | {"binds": tuple(map(tuple, s["binds"])), "assigns": tuple(Assign(**x) for x in s["assigns"])}) for s in a["steps"])
+            out.define_action(Action(**a | {"params": {k: tuple(v) for k, v in a["params"].items()}, "steps": steps, "jobs": tuple((n, args) for n, args in a["jobs"])}))
         return out
+
+    def save(self, path: str) -> None:
+        """As a local file; an engine keeps it in its catalog (save_model)."""
+        Path(path).write_text(json.dumps(self.to_dict(), indent=1))
+
+    @classmethod
+    def load(cls, path: str) -> Registry:
+        return cls.from_dict(json.loads(Path(path).read_text()))

@@ -35,7 +35,12 @@ def fold(df: DataFrame, identity: str, engine: str = "last_row", version: str |
     pick = F.min_by if engine == "first_row" else F.max_by
     rows = df.where(F.col(kind) != "-U")
     won = rows.groupBy(F.col(identity).alias("_id")).agg(pick(F.struct(*df.columns), order).alias("_row"))
-    return won.select([F.col(f"_row.{c}").alias(c) for c in df.columns]).where(F.col(kind) != "-D")
+    return _winners(won, df.columns, identity).where(F.col(kind) != "-D")
+
+
+def _winners(won: DataFrame, columns: list[str], identity: str) -> DataFrame:
+    """The winning rows; the identity is the key itself, so conditions on it reach the scans."""
+    return won.select([(F.col("_id") if c == identity else F.col(f"_row.{c}")).alias(c) for c in columns])
 
 
 def precedence_fold(df: DataFrame, identity: str, kind: str = KIND, prec: str = "_prec") -> DataFrame:
@@ -43,7 +48,7 @@ def precedence_fold(df: DataFrame, identity: str, kind: str = KIND, prec: str =
     greatest hash of all columns, so any order of reading gives the same); a
     tombstone hides it."""
     won = df.groupBy(F.col(identity).alias("_id")).agg(F.max_by(F.struct(*df.columns), F.struct(F.col(prec), F.xxhash64(*df.columns))).alias("_row"))
-    return won.select([F.col(f"_row.{c}").alias(c) for c in df.columns]).where(F.col(kind) != "-D").drop(kind, prec)
+    return _winners(won, df.columns, identity).where(F.col(kind) != "-D").drop(kind, prec)
 
 
 def ordinal(df: DataFrame, order: list, name: str = "_n") -> DataFrame:

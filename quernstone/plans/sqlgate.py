@@ -157,14 +157,22 @@ def query(ctx: Context, subject: str, sql: str, views=None, at=None) -> DataFram
     return checked(session, sql, names)
 
 
-def console(ctx: Context, subject: str, sql: str, limit: int = CONSOLE_DEFAULT, deadline_s: float = DEADLINE_S, views=None) -> tuple[list, bool]:
-    """(rows, whether there were more), stopped at the deadline."""
+def console(ctx: Context, subject: str, sql: str, limit: int = CONSOLE_DEFAULT, deadline_s: float = DEADLINE_S, views=None, scan_bytes: int | None = None) -> tuple[list, bool]:
+    """(rows, whether there were more), stopped at the deadline; a statement that
+    would read more than scan_bytes, after pruning, is refused before it runs."""
     n = max(1, min(limit, CONSOLE_MAX))
     df = query(ctx, subject, sql, views).limit(n + 1)
+    if scan_bytes is not None and (size := scanned(df)) > scan_bytes:
+        raise ResourceExhausted(f"the statement reads {size} bytes, more than {scan_bytes}")
     rows = with_deadline(df, deadline_s)
     return rows[:n], len(rows) > n
 
 
+def scanned(df: DataFrame) -> int:
+    """Bytes of the sources that the optimised plan reads, as far as Spark knows them."""
+    return sum(int(str(leaf.stats().sizeInBytes())) for leaf in _all(df._jdf.queryExecution().optimizedPlan().collectLeaves()))
+
+
 def with_deadline(df: DataFrame, seconds: float) -> list:
     sc, tag = df.sparkSession.sparkContext, f"quern-{uuid.uuid4().hex}"
     late = threading.Event()

@@ -193,13 +193,17 @@ class Streams:
         return rows, base64.urlsafe_b64encode(raw.encode()).decode()
 
     def await_page(self, table: str, cursor: str, timeout_s: float = 10.0, limit: int = BATCH) -> tuple[list, str]:
-        """page(), again and again until there are events or time is up."""
+        """page(), until there are events or time is up: again at once after each
+        commit of this process, and every POLL_S for those of others."""
         end = time.time() + timeout_s
         while True:
+            seen = self.catalog.current().id
             rows, after = self.page(table, cursor, limit=limit)
             if rows or time.time() >= end:
                 return rows, after
-            time.sleep(min(POLL_S, max(0.0, end - time.time())))
+            with self.catalog.committed:
+                if self.catalog.current().id == seen:
+                    self.catalog.committed.wait(min(POLL_S, max(0.0, end - time.time())))
 
     # --- micro-batch views
 

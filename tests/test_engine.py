@@ -447,6 +447,47 @@ def eng_lit(x):
     return F.lit(x)
 
 
+def test_model_in_the_catalog(eng, spark):
+    eng.registry.define_action(Action("hire", {"id": ("long", True)}, (Step("Person", binds=(("id", "id"),), assigns=(Assign("age", const=3),)),), jobs=(("mail", {"to": "@self.id"}),)))
+    eng.define_view("grown", "main.person", "age >= 40", ["id", "age"])
+    eng.save_model()
+    other = Engine(spark, eng.catalog.root)
+    other.load_model()
+    assert other.registry.to_dict() == eng.registry.to_dict() and other.registry.action("hire") == eng.registry.action("hire") and other.views == {"grown": ("main.person", "age >= 40", ["id", "age"])}
+    other.registry.delete_action("hire")
+    other.registry.delete_link("Person", "boss")
+    other.delete_view("grown")
+    assert not other.registry.actions and not other.registry.links and not other.views
+    eng.actions.run("u", "hire", {"id": 70})
+    assert [(j.name, j.args) for j in eng.transforms.queue.jobs] == [("mail", {"to": "70"})] and eng.transforms.tick() == []
+    sent = []
+    eng.transforms.handlers["mail"] = sent.append
+    eng.transforms.tick()
+    assert sent == [{"to": "70"}] and not eng.transforms.queue.jobs
+
+
+def test_budget_and_wakeup(eng, spark):
+    import threading
+
+    with pytest.raises(ResourceExhausted):
+        eng.console("u", "SELECT id FROM person", scan_bytes=1)
+    assert len(eng.console("u", "SELECT id FROM person", scan_bytes=1 << 40)[0]) == 4
+    eng.streams.declare("main.wake", T.StructType.fromDDL("id long"), "log", 1)
+    _, cursor = eng.streams.page("main.wake")
+    late = threading.Timer(0.3, lambda: eng.streams.append("main.wake", spark.range(2), ["id"]))
+    late.start()
+    rows, _ = eng.streams.await_page("main.wake", cursor, 20)
+    late.join()
+    assert [r.id for r in rows] == [0, 1]
+
+
+def test_conditions_on_the_identity_reach_the_scans(eng, spark):
+    eng.catalog.mutate("main.person", people(spark, [(2, "ben", 41, 3)]).selectExpr("*", "'+U' AS _chg_kind"))
+    df = eng.catalog.scan("main.person").where("id = 2")
+    assert [(r.id, r.name) for r in df.collect()] == [(2, "ben")]
+    assert df._jdf.queryExecution().toString().count("EqualTo(id,2)") >= 2
+
+
 def test_state_survives_the_process(eng, spark):
     """Definitions, jobs and lineage are read back by another engine on the warehouse."""
     eng.transforms.define(Transform("copy", "SELECT id FROM person", ("main.person",), "main.copy", mode="overwrite", triggers=("main.person",)))
