@@ -9,11 +9,11 @@ equal ones stay constant strings.  Every slot counts its pages and the share of
 their unlinked text that stands in it.  The result is the host's wrapper, an
 expression of sequences, repeated and optional groups and slots, without unions.
 
-The wrapper decides what the main text is.  From the root, the element that
-holds at least half of the text of the slots that vary (constant strings of
-MIN_PAGES pages or more weigh nothing) is entered again and again, down to the
-one whose text stands in its own paragraphs; headings beside the way belong to
-it.  Names help: what is under NEVER or BOILERPLATE never counts, and of the
+The wrapper decides what the main text is.  An article or main element that holds
+a quarter of the text of the slots that vary is it (constant strings of MIN_PAGES
+pages or more weigh nothing).  Else, from the root, the element that holds at
+least half of that text is entered again and again, down to the one whose text
+stands in its own paragraphs; headings beside the way belong to it.  Names help: what is under NEVER or BOILERPLATE never counts, and of the
 elements on the way the first by MAIN is the article, if there is one.  In an
 article found without such a name, constant strings that stand on half of the
 pages are template text and go.  A host of fewer pages tells no slots from
@@ -417,14 +417,14 @@ class _Element:
     def tag(self) -> str:
         return re.split(r"[.#@!]", self.label, maxsplit=1)[0]
 
-    def named(self, pattern) -> list[int]:
-        """The paths of the outermost elements with text below it of that name."""
-        out: list[int] = []
+    def named(self, pattern) -> list[_Element]:
+        """The outermost elements with text below it of that name."""
+        out: list[_Element] = []
         todo = list(self.children.values())
         while todo:
             e = todo.pop()
             if e.weight and pattern.search(e.label):
-                out.append(e.path)
+                out.append(e)
             else:
                 todo += e.children.values()
         return out
@@ -468,7 +468,11 @@ def region(wrapper: list) -> Region:
     if pages < MIN_PAGES:  # nothing tells slots from constant strings yet
         for p in MAIN:
             if named := root.named(p):
-                return Region(frozenset(named))
+                return Region(frozenset(e.path for e in named))
+    for p in MAIN[:2]:  # the elements that HTML has for it, if much of the varying text is in one
+        best = max(root.named(p), key=lambda e: e.weight, default=None)
+        if best is not None and best.weight >= SHARE / 2 * root.weight:
+            return Region(frozenset([best.path]))
     way, heads = [root], [[]]
     while True:
         at = way[-1]
@@ -484,7 +488,7 @@ def region(wrapper: list) -> Region:
     if 2 * (at.own + sum(c.weight for c in at.children.values() if c.tag in PARAGRAPHS)) < at.weight:  # no element has most of the text: names alone can tell
         for p in MAIN:
             if named := at.named(p):
-                return Region(frozenset(named))
+                return Region(frozenset(e.path for e in named))
     if len(way) == 1:
         return Region()
     best, titles = way[-1], [h for some in heads for h in some]

@@ -150,6 +150,12 @@ def test_slots_decide_without_names():
     assert "Story 0 text here" in W.text_of(W.parse(copies[0]), main)
 
 
+def test_an_article_element_beside_longer_slots():
+    pages = [f"<body><article class=teaser><p>More {i}</p></article><article><h1>Title {i}</h1><p>{'story ' * (30 + i)}</p></article><div class=zz>{f'<p>reader {i} says this and that</p>' * 6}</div></body>" for i in range(6)]
+    main = W.region(W._merged(("h", W.expression(W.parse(p))) for p in pages)["h"])
+    assert [W.text_of(W.parse(p), main) for p in pages] == [f"Title {i}\n{('story ' * (30 + i)).strip()}" for i in range(6)]
+
+
 def test_a_header_in_the_article_stays():
     page = "<header>Site</header><article><header><h1>Title</h1></header><p>one two three</p></article>"
     assert W.text_of(W.parse(page), W.Region()) == "Title\none two three"
