@@ -2,20 +2,26 @@
 
 from __future__ import annotations
 
+import datetime as dt
+import json
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .. import acl as A
 from ..actions import Action, Assign, Step, violation_counts
 from ..engine import Engine
+from ..errors import EngineError, Validation
 from ..functions import expr as E
-from ..lineage import closure, edges, runs
+from ..functions.rendering import ndjson, pairs, tree
+from ..lineage import binding_events, closure, edges, runs
 from ..ontology import Constraint, Derived, Link, ObjectType, Property, VectorIndex, infer_type
 from ..operators.fold import BUCKET, KIND, OFFSET, bounds, emit_cdc, feed, fold, frame_log, lookup_join, precedence_fold, strip
 from ..sources.arrow import decode_stream, encode_stream
 from ..sources.catalog import Catalog
 from ..sources.scratch import shared_dir
 from ..streaming.streams import batch_sink, structured
-from ..transforms import Transform
+from ..transforms import Transform, cron_next
 from . import search, sqlgate
 
 IDS = {"region": "r_regionkey", "nation": "n_nationkey", "customer": "c_custkey", "supplier": "s_suppkey", "part": "p_partkey", "orders": "o_orderkey", "lineitem": None, "events": "event_id", "embeddings": "vec_id"}
@@ -766,6 +772,264 @@ def _(spark, d):
     return spark.createDataFrame(list(rows), "n_nationkey int, n_name string")
 
 
+@query("p10_schema_evolution", "SELECT n_nationkey, CASE WHEN n_nationkey % 2 = 1 THEN n_name END AS note, true AS drop_refused FROM nation")
+def _(spark, d):
+    """A landing may bring nullable columns, but not leave any out."""
+    cat, rows = Catalog(spark, shared_dir(spark)), table(spark, d, "nation")
+    cat.land("main.n", rows.where("n_nationkey % 2 = 0").select("n_nationkey"))
+    cat.land("main.n", rows.where("n_nationkey % 2 = 1").select("n_nationkey", F.col("n_name").alias("note")))
+    strict = StructType([StructField("a", LongType(), False), StructField("b", LongType(), False)])
+    cat.create("main.strict", strict)
+    return cat.scan("main.n").withColumn("drop_refused", F.lit(_refusal(lambda: cat.land("main.strict", spark.range(1).select(F.col("id").alias("a")))) == "Validation"))
+
+
+def _refusal(call) -> str:
+    """The name of the error that a call raises, or done."""
+    try:
+        call()
+        return "done"
+    except EngineError as e:
+        return type(e).__name__
+
+
+@query("p11_empty_live_table", "SELECT r_regionkey, r_name FROM region WHERE false")
+def _(spark, d):
+    cat = Catalog(spark, shared_dir(spark))
+    cat.create("main.region", table(spark, d, "region").schema)
+    return cat.scan("main.region").select("r_regionkey", "r_name")
+
+
+@query("p12_additive_tiers", "SELECT r_regionkey, r_name FROM region UNION ALL SELECT r_regionkey, r_name FROM region WHERE r_regionkey < 3")
+def _(spark, d):
+    """Without an identity, inline rows add to those of files."""
+    cat, rows = Catalog(spark, shared_dir(spark)), table(spark, d, "region").select("r_regionkey", "r_name")
+    cat.land("main.region", rows)
+    cat.land("main.region", rows.where("r_regionkey < 3"), size=10)
+    return cat.scan("main.region")
+
+
+@query("p13_pinned_snapshot", "SELECT r_name, count(n_nationkey) AS nations FROM region LEFT JOIN nation ON n_regionkey = r_regionkey AND n_nationkey % 2 = 0 GROUP BY r_name")
+def _(spark, d):
+    """Two tables read at one snapshot, whatever is landed meanwhile."""
+    eng, rows = _warehouse(spark, d, "nation", "region"), table(spark, d, "nation")
+    eng.land("region", table(spark, d, "region"))
+    eng.land("nation", rows.where("n_nationkey % 2 = 0"))
+    at = eng.at()
+    eng.land("nation", rows.where("n_nationkey % 2 = 1"))
+    eng.land("region", table(spark, d, "region").limit(0), mode="overwrite")
+    n = eng.table("nation", at)
+    r = eng.table("region", at)
+    return r.join(n, n["n_regionkey"] == r["r_regionkey"], "left").groupBy("r_name").agg(F.count("n_nationkey").alias("nations"))
+
+
+@query("p14_concurrent_commits", "SELECT n_nationkey, n_name FROM nation")
+def _(spark, d):
+    """A commit that finds its version taken is made again on the newer one."""
+    root, rows = shared_dir(spark), table(spark, d, "nation").select("n_nationkey", "n_name")
+    one, other = Catalog(spark, root), Catalog(spark, root)
+    one.land("main.n", rows.where("n_nationkey < 10"))
+    new = one.write_files("main.n", rows.where("n_nationkey >= 20"))
+    late = []
+
+    def change(tx):
+        if not late:
+            late.append(other.land("main.n", rows.where("n_nationkey BETWEEN 10 AND 19")))
+        tx.edit("main.n")["files"] += new
+
+    one.commit(change)
+    return other.scan("main.n")
+
+
+@query("a3_two_objects_one_commit", "SELECT 'nation' AS type, 900 AS id, 1 AS commits UNION ALL SELECT 'supplier', 900001, 1")
+def _(spark, d):
+    """Two steps, the second with the first one's key, in one version."""
+    eng = _warehouse(spark, d, "nation", "supplier")
+    for t in ("Nation", "Supplier"):
+        eng.acl.grant("admin", t, "write")
+    first = Step("Nation", binds=(("n_nationkey", "nation"),), assigns=(Assign("n_name", const="NEW"), Assign("n_regionkey", const=1)), bind="n")
+    second = Step("Supplier", binds=(("s_suppkey", "key"),), assigns=(Assign("s_name", const="x"), Assign("s_nationkey", ref="n.n_nationkey"), Assign("s_acctbal", const=1.0)))
+    eng.registry.define_action(Action("both", {"nation": ("integer", True), "key": ("long", True)}, (first, second)))
+    before = eng.catalog.current().id
+    eng.actions.run("admin", "both", {"nation": 900, "key": 900001})
+    n = eng.catalog.scan("nation").select(F.lit("nation").alias("type"), F.col("n_nationkey").alias("id"))
+    s = eng.catalog.scan("supplier").where("s_nationkey = 900").select(F.lit("supplier").alias("type"), F.col("s_suppkey").cast("int").alias("id"))
+    return n.unionByName(s).withColumn("commits", F.lit(eng.catalog.current().id - before))
+
+
+@query("a4_refused_writes", "SELECT * FROM (VALUES ('allowed update', 'done'), ('denied column', 'Forbidden'), ('hidden row', 'NotFound'), ('row leaves the filter', 'Forbidden'), ('insert outside the filter', 'Forbidden'), ('unknown parameter', 'Validation'), ('no grant', 'Forbidden')) t(case_name, outcome)")
+def _(spark, d):
+    """The three legs of the write policy: the row as it is, the columns, the row as it will be."""
+    eng = _warehouse(spark, d, "supplier")
+    eng.land("supplier", table(spark, d, "supplier"))
+    eng.acl.add_role("keeper")
+    eng.acl.assign("kim", "keeper")
+    for what in ("read", "write"):
+        eng.acl.grant("keeper", "Supplier", what)
+    eng.acl.set_policy("keeper", "Supplier", A.Policy((A.Compare("s_acctbal", "lt", 10_000_000), A.Compare("s_suppkey", "ne", 5)), frozenset({"s_name"})))
+    params = {"key": ("long", True), "to": ("double", False), "name": ("string", False)}
+    eng.registry.define_action(Action("set", params, (Step("Supplier", "update", (("s_acctbal", "to"), ("s_name", "name")), locate="key"),)))
+    eng.registry.define_action(Action("add", params, (Step("Supplier", binds=(("s_suppkey", "key"), ("s_acctbal", "to"), ("s_name", "name"))),)))
+    run = lambda who, name, given: _refusal(lambda: eng.actions.run(who, name, given))
+    rows = [
+        ("allowed update", run("kim", "set", {"key": 3, "to": 2.0})), ("denied column", run("kim", "set", {"key": 3, "name": "x"})), ("hidden row", run("kim", "set", {"key": 5, "to": 2.0})),
+        ("row leaves the filter", run("kim", "set", {"key": 3, "to": 1e9})), ("insert outside the filter", run("kim", "add", {"key": 900002, "to": 1e9})), ("unknown parameter", run("kim", "set", {"key": 3, "odd": 1})), ("no grant", run("clerk", "set", {"key": 3, "to": 2.0})),
+    ]
+    return spark.createDataFrame(rows, "case_name string, outcome string")
+
+
+@query("a5_visible_datasets", "SELECT * FROM (VALUES ('admin', 2), ('nobody', 0), ('reader', 1)) t(subject, datasets)")
+def _(spark, d):
+    eng = _warehouse(spark, d, "nation", "region")
+    eng.tables = {}
+    eng.acl.add_role("reader")
+    eng.acl.assign("reader", "reader")
+    eng.acl.grant("reader", "Nation")
+    return spark.createDataFrame([(s, len(eng.datasets(s))) for s in ("admin", "nobody", "reader")], "subject string, datasets int")
+
+
+@query("r11_refused_filters", "SELECT * FROM (VALUES ('denied', 'BadFilter'), ('masked', 'BadFilter'), ('unknown', 'BadFilter'), ('bad operand', 'BadFilter'), ('bad operator', 'BadFilter'), ('no grant', 'Forbidden'), ('fine', 'done')) t(case_name, outcome)")
+def _(spark, d):
+    """Visibility comes before the operand is looked at."""
+    eng = engine(spark, d)
+    ask = lambda f, who="analyst": _refusal(lambda: eng.objects(who, "Customer", filters=f))
+    rows = [("denied", ask({"c_acctbal": "gt:1"})), ("masked", ask({"c_name": "eq:x"})), ("unknown", ask({"nothing": "eq:1"})), ("bad operand", ask({"c_custkey": "gt:abc"})), ("bad operator", ask({"c_custkey": "like:1"})), ("no grant", ask({}, "nobody")), ("fine", ask({"c_custkey": "gt:1"}))]
+    return spark.createDataFrame(rows, "case_name string, outcome string")
+
+
+@query("r12_refused_pages_and_graphs", "SELECT * FROM (VALUES ('no identity', 'BadPagination'), ('object set', 'BadPagination'), ('bad cursor', 'BadPagination'), ('depth', 'BadGraphPath'), ('path and links', 'BadGraphPath'), ('two stars', 'BadGraphPath'), ('long chain', 'BadChain'), ('unknown link', 'UnknownLink')) t(case_name, outcome)")
+def _(spark, d):
+    eng = engine(spark, d)
+    rows = [
+        ("no identity", _refusal(lambda: eng.page("admin", "LineItem"))), ("object set", _refusal(lambda: eng.page("admin", "Nation", ids=[1]))), ("bad cursor", _refusal(lambda: eng.page("admin", "Nation", cursor="x"))),
+        ("depth", _refusal(lambda: eng.graph("admin", "Supplier", path="home", depth=11))), ("path and links", _refusal(lambda: eng.graph("admin", "Supplier", path="home", links=["home"]))), ("two stars", _refusal(lambda: eng.graph("admin", "Supplier", path="home*,home*"))),
+        ("long chain", _refusal(lambda: eng.linked("admin", "Supplier", ["home"] * 5))), ("unknown link", _refusal(lambda: eng.linked("admin", "Supplier", ["nowhere"]))),
+    ]
+    return spark.createDataFrame(rows, "case_name string, outcome string")
+
+
+@query("r13_previewed_rows", "SELECT c_custkey, '***' AS c_name, c_nationkey, c_mktsegment FROM customer WHERE c_mktsegment = 'BUILDING' ORDER BY c_custkey LIMIT 7")
+def _(spark, d):
+    return engine(spark, d).preview("analyst", "Customer", {"c_mktsegment": "eq:BUILDING"}, 7)
+
+
+@query("d5_rendered_rows", "SELECT n_nationkey, n_name, n_regionkey FROM nation")
+def _(spark, d):
+    """Objects as JSON clients get them, read back."""
+    eng = engine(spark, d)
+    lines = [json.dumps(r) for r in eng.rendered("admin", "Nation", eng.objects("admin", "Nation"))]
+    return spark.createDataFrame([(x,) for x in lines], "j string").select(F.from_json("j", "n_nationkey int, n_name string, n_regionkey int").alias("r")).select("r.*")
+
+
+@query("d6_rendered_pairs", "SELECT n_nationkey AS nation, n_regionkey AS region FROM nation WHERE n_regionkey < 3")
+def _(spark, d):
+    eng = engine(spark, d)
+    rows = pairs(eng.association("admin", "Nation", "inRegion").where("to_id < 3").collect())
+    return spark.createDataFrame([(r["from"], r["to"]) for r in rows], "nation int, region int")
+
+
+@query("d7_rendered_tree", "SELECT n_nationkey AS id, 1 AS depth, n_nationkey % 5 AS parent FROM nation WHERE n_nationkey BETWEEN 5 AND 9 UNION ALL SELECT n_nationkey, 0, NULL FROM nation WHERE n_nationkey < 5")
+def _(spark, d):
+    """A two-level tree of nations, each of which refers to its number modulo five."""
+    eng = engine(spark, d)
+    rows = table(spark, d, "nation").where("n_nationkey < 10").select(F.col("n_nationkey").alias("id"), F.when(F.col("n_nationkey") >= 5, F.col("n_nationkey") % 5).alias("under"))
+    eng.tables["tree"] = rows
+    eng.registry.define_type(ObjectType("Leaf", "tree", (Property("id", "integer", True), Property("under", "integer")), "id"))
+    eng.registry.define_link(Link("under", "Leaf", "Leaf", "id", "under"))
+    eng.acl.grant("admin", "Leaf")
+    got = tree(eng.tree("admin", "Leaf", "under", seeds={"id": "lt:5"}).collect(), "id")
+    return spark.createDataFrame([(n["id"], n["depth"], n["parent"]) for n in got["nodes"]], "id int, depth int, parent int")
+
+
+@query("d8_feed_as_lines", "SELECT n_nationkey, '+I' AS kind, n_name FROM nation WHERE n_regionkey != 1")
+def _(spark, d):
+    """A governed change feed as JSON lines, to its end."""
+    eng, rows = engine(spark, d, shared_dir(spark)), table(spark, d, "nation").select("n_nationkey", "n_name", "n_regionkey")
+    eng.streams.declare("main.feed", rows.schema, "cdc", 2, "n_nationkey")
+    eng.streams.change("main.feed", rows)
+    eng.registry.define_type(ObjectType("Feed", "main.feed", tuple(Property(p.name, p.type) for p in infer_type("x", rows.schema).properties), "n_nationkey"))
+    eng.acl.grant("clerk", "Feed")
+    eng.acl.set_policy("clerk", "Feed", A.Policy((A.Compare("n_regionkey", "ne", 1),)))
+    lines = [json.loads(x) for x in ndjson(eng, "clerk", "Feed", batch=7)]
+    return spark.createDataFrame([(x["n_nationkey"], x["_kind"], x["n_name"]) for x in lines if "cursor" not in x], "n_nationkey int, kind string, n_name string")
+
+
+@query("d9_inferred_type", "SELECT * FROM (VALUES ('event_id', 'long'), ('ts', 'timestamp'), ('user_id', 'long'), ('event_type', 'string'), ('value', 'double'), ('props', 'string')) t(property, type)")
+def _(spark, d):
+    return spark.createDataFrame([(p.name, p.type) for p in infer_type("Event", table(spark, d, "events").schema, "event_id").properties], "property string, type string")
+
+
+@query("s16_console", "SELECT c_custkey, true AS more FROM customer WHERE c_mktsegment IN ('BUILDING', 'AUTOMOBILE') ORDER BY c_custkey LIMIT 5")
+def _(spark, d):
+    rows, more = engine(spark, d).console("analyst", "SELECT c_custkey FROM customer ORDER BY c_custkey", limit=5)
+    return spark.createDataFrame([(r[0], more) for r in rows], "c_custkey long, more boolean")
+
+
+@query("s17_validated_statements", "SELECT * FROM (VALUES (0, 0), (1, 1), (2, 1), (3, 1), (4, 1), (5, 0)) t(statement, problems)")
+def _(spark, d):
+    eng = engine(spark, d)
+    statements = ["SELECT c_custkey FROM customer", "SELECT nothing FROM customer", "SELEC 1", "DROP TABLE customer", "EXPLAIN SELECT 1", "WITH a AS (SELECT 1 AS x) SELECT x FROM a"]
+    return spark.createDataFrame([(i, len(eng.validate("analyst", s))) for i, s in enumerate(statements)], "statement int, problems int")
+
+
+@query("j4_typed_transform", "SELECT o_custkey AS c, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY o_custkey")
+def _(spark, d):
+    """Object types in, an object type out, which the result must match exactly."""
+    eng = _warehouse(spark, d, "orders")
+    eng.land("orders", table(spark, d, "orders"))
+    eng.registry.define_type(ObjectType("Spend", "main.spend", (Property("c", "long"), Property("total", "double")), "c"))
+    eng.transforms.define(Transform("spend", "SELECT o_custkey AS c, sum(o_totalprice) AS total FROM Order GROUP BY o_custkey".replace("Order ", "`Order` "), ("Order",), "Spend", "typed"))
+    eng.transforms.run("spend")
+    return eng.catalog.scan("main.spend").select("c", _r("total"))
+
+
+@query("j5_refused_definitions", "SELECT * FROM (VALUES ('cycle', 'Conflict'), ('bad cron', 'Validation'), ('name', 'Validation'), ('two inputs of a name', 'Validation'), ('another type', 'Validation'), ('fine', 'done')) t(case_name, outcome)")
+def _(spark, d):
+    eng = _warehouse(spark, d, "nation")
+    define = lambda *a, **k: _refusal(lambda: eng.transforms.define(Transform(*a, **k)))
+    rows = [("fine", define("a", "SELECT * FROM nation", ("nation",), "main.a", triggers=("main.b",))), ("cycle", define("b", "SELECT 1", (), "main.b", triggers=("main.a",))), ("bad cron", define("c", "SELECT 1", (), "main.c", cron="61 * * * *")), ("name", define("run", "SELECT 1", (), "main.c")), ("two inputs of a name", define("d", "SELECT 1", ("x.t", "y.t"), "main.c"))]
+    eng.land("nation", table(spark, d, "nation"))
+    define("typed", "SELECT n_name FROM Nation", ("Nation",), "Region", "typed")
+    rows.append(("another type", _refusal(lambda: eng.transforms.run("typed"))))
+    return spark.createDataFrame(rows, "case_name string, outcome string")
+
+
+@query("j6_cron", "SELECT * FROM (VALUES ('30 4 * * 1', TIMESTAMP '2024-03-04 04:30:00'), ('0 0 29 2 *', TIMESTAMP '2024-02-29 00:00:00'), ('*/15 8-9 1,15 * 7', TIMESTAMP '2024-03-01 08:00:00')) t(cron, due)")
+def _(spark, d):
+    after = dt.datetime(2024, 2, 28, 23, 59, 30)
+    return spark.createDataFrame([(c, cron_next(c, after)) for c in ("30 4 * * 1", "0 0 29 2 *", "*/15 8-9 1,15 * 7")], "cron string, due timestamp_ntz")
+
+
+@query("c2_landing_gate", "SELECT rule || ': ' || n || ' rows' AS violation FROM (SELECT 'c_name:length' AS rule, count(*) FILTER (length(c_name) > 17) AS n FROM customer UNION ALL SELECT 'c_acctbal:range', count(*) FILTER (c_acctbal < 0 OR c_acctbal > 9000) FROM customer) WHERE n > 0")
+def _(spark, d):
+    """A landing that breaks constraints is refused with all of them counted."""
+    eng, rows = Engine(spark, shared_dir(spark)), table(spark, d, "customer").select("c_custkey", "c_name", "c_acctbal")
+    rules = (Property("c_custkey", "long"), Property("c_name", "string", constraints=(Constraint("length", max=17),)), Property("c_acctbal", "double", constraints=(Constraint("range", min=0, max=9000),)))
+    eng.registry.define_type(ObjectType("Checked", "main.checked", rules, "c_custkey"))
+    found: list[str] = []
+    try:
+        eng.land_model("Checked", rows)
+    except Validation as e:
+        found = list(e.violations)
+    return spark.createDataFrame([(v,) for v in found], "violation string")
+
+
+@query("l4_lineage_of_bindings", "SELECT 'quern:type/Nation' AS dataset UNION ALL SELECT 'quern:view/small'")
+def _(spark, d):
+    eng = engine(spark, d)
+    eng.define_view("small", "nation", "n_nationkey < 5", ["n_nationkey"])
+    rows = binding_events(eng.registry.types, eng.views, 1.0)
+    log = spark.createDataFrame(rows, "run string, time double, state string, dataset string, direction string")
+    return closure(edges(log), spark.createDataFrame([("quern:table/nation",)], "dataset string"), 3).select("dataset")
+
+
+@query("x2_expression_functions", "SELECT p_partkey, CAST(p_size AS DOUBLE) AS a, coalesce(nullif(p_size, p_size), p_size + 1) AS b, lower(p_brand) AS c, p_size >= 10 OR NOT p_size != 3 AS d FROM part")
+def _(spark, d):
+    df = table(spark, d, "part").withColumn("none", F.lit(None).cast("int"))
+    props = {f.name: {"bigint": "long", "int": "integer"}.get(f.dataType.simpleString(), f.dataType.simpleString()) for f in df.schema}
+    make = lambda s: E.compile_column(E.parse(s), props)
+    return df.select("p_partkey", make("cast(@p_size as double)").alias("a"), make("coalesce(@none, @p_size + 1)").cast("int").alias("b"), make("lower(@p_brand)").alias("c"), make("@p_size >= 10 or not @p_size != 3").alias("d"))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A page of an analyst's customers with what they spent."""
     df = engine(spark, sf_dir).page("analyst", "Customer", size=20, derived=True)
