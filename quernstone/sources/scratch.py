@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,15 +21,19 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/quern-{uuid.uuid4().hex}"
 
 
-_scopes: list[list[str]] = []
+_local = threading.local()  # a thread deletes only what it has cut itself
+
+
+def _scopes() -> list[list[str]]:
+    return _local.__dict__.setdefault("scopes", [])
 
 
 def cut(df: DataFrame) -> DataFrame:
     """df written to the shared folder and read again: cuts its lineage, and
     what follows survives lost executors without computing it anew."""
     path = shared_dir(df.sparkSession)
-    if _scopes:
-        _scopes[-1].append(path)
+    if _scopes():
+        _scopes()[-1].append(path)
     df.write.option("compression", "zstd").parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._quern_path = path
@@ -37,12 +42,11 @@ def cut(df: DataFrame) -> DataFrame:
 
 def settled(spark: SparkSession, make) -> DataFrame:
     """cut(make()); what make() has cut on its way is deleted after that."""
-    _scopes.append([])
+    _scopes().append([])
     try:
         made = make()
-        inner = _scopes[-1]
     finally:
-        _scopes.pop()
+        inner = _scopes().pop()
     out = cut(made)
     discard(spark, inner)
     return out

@@ -564,3 +564,22 @@ def test_repeated_identities(eng, spark):
         eng.acl.grant("r", "Twice")
         eng.registry.links[:] = [Link("boss", "Twice", "Twice", "boss", "id")]
         assert ids(eng.linked("u", "Twice", ["boss"], ids=[1])) == want
+
+
+def test_intermediate_folders(spark):
+    """What a step leaves on its way is deleted; its result and others' results stay."""
+    from quernstone.sources.scratch import cut, discard, settled
+
+    inner, outer = [], cut(spark.range(3))
+
+    def make():
+        inner.append(cut(spark.range(5)))
+        return settled(spark, lambda: cut(inner[0].where("id > 1"))).where("id > 2")
+
+    done = settled(spark, make)
+    assert ids(done) == [3, 4] and ids(outer) == [0, 1, 2]
+    with pytest.raises(Exception):
+        spark.read.parquet(inner[0]._quern_path)
+    discard(spark, done)
+    with pytest.raises(Exception):
+        spark.read.parquet(done._quern_path)
