@@ -95,3 +95,18 @@ def test_many_copies_of_an_edited_passage(spark):
     bench = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
     got = {r.doc_id: [x.item_id for x in r.leaks] for r in D.find_leaks(df, bench).collect()}
     assert got == {**{d: [1] for d, _ in docs}, **{d: [] for d, _ in common}}
+
+
+def test_parts_ties_and_clashing_names(spark):
+    """Items in parts of one each give what one part gives; of two stretches of
+    equal score the first is told; a column named like a part stays."""
+    item = " ".join(f"w{i}" for i in range(12))
+    other = " ".join(f"v{i}" for i in range(12))
+    bench = spark.createDataFrame([(1, item), (2, other), (3, item)], "item_id long, text string")
+    gap = " ".join(f"x{i}" for i in range(60))
+    docs = spark.createDataFrame([(1, f"{gap} {item} {gap} {item}", "k"), (2, f"{other} {item}", "k"), (3, gap, "k"), (4, None, "k")], "doc_id long, text string, leaks_0 string")
+    shape = lambda df: {r.doc_id: sorted((x.item_id, x.score, x.start_word, x.end_word) for x in r.leaks) for r in df.collect()}
+    whole, parts = D.find_leaks(docs, bench), D.find_leaks(docs, bench, broadcast_bytes=100)
+    assert parts.columns == ["doc_id", "text", "leaks_0", "leaks"] and {r.leaks_0 for r in parts.collect()} == {"k"}
+    assert shape(whole) == shape(parts)
+    assert shape(whole)[1] == [(1, 1.0, 60, 72), (3, 1.0, 60, 72)] and [x[0] for x in shape(whole)[2]] == [1, 2, 3] and shape(whole)[3] == []

@@ -77,3 +77,15 @@ def test_clean_texts(spark):
     want = [(i, f"{own} {i}\n", "h", "clash") for i in range(30)] + [(51, rows[31][1], "other", "clash"), (-(2**63), f"{own} y", None, "clash"), (None, f"{own} y", None, "clash")]
     assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, want))
     assert quality.clean(df.limit(0)).count() == 0
+
+
+def test_structured_words_are_no_repeats(spark, tmp_path):
+    """Words that collide under polynomial hashes modulo a power of two are told apart."""
+    a = "ab"
+    while len(a) < 4096:
+        a += a.translate(str.maketrans("ab", "ba"))
+    b = a.translate(str.maketrans("ab", "ba"))
+    f = folder_of(tmp_path, [(1, f"{a} p q r s {b} p q r s t", "en", "h", 1, "x"), (2, f"{a[:64]} p q r s {b[:64]} p q r s t", "en", "h", 1, "x")])
+    df = quality.query(spark, f)
+    same(df, quality.SQL, f)
+    assert [r.n_repeat_words for r in df.collect()] == [0, 0]
