@@ -130,9 +130,11 @@ def marginals(model: Model, feats: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 def aggregates(p: np.ndarray, first: np.ndarray) -> np.ndarray:
     """One row for each text: 1, log of 1 + expected toxic tokens, greatest
-    marginal, expected toxic tokens up to 3."""
+    marginal, expected toxic tokens up to 3, and these by the text's log length,
+    as one likely token says less in a long text."""
     n = X.row_sums(np.where(p > 1e-4, p, 0), first)
-    return np.stack([np.ones(len(n)), np.log1p(n), X.row_max(p, first), np.minimum(n, 3)], 1)
+    few = np.minimum(n, 3)
+    return np.stack([np.ones(len(n)), np.log1p(n), X.row_max(p, first), few, few * np.log1p(np.diff(first))], 1)
 
 
 def toxic_features(parts, toxic: np.ndarray) -> np.ndarray:
@@ -250,7 +252,7 @@ def logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 def fit(texts: list[str], labels: list[int], epochs: int = 6) -> Model:
     y = np.array(labels, np.int64)
     base = float(y.mean()) if len(y) else 0.0
-    model = Model(None, np.array([[0.0, -3.0], [0.0, -2.0]]), -3.0, np.zeros(4), base)
+    model = Model(None, np.array([[0.0, -3.0], [0.0, -2.0]]), -3.0, np.zeros(5), base)
     if not len(y) or y.min() == y.max():
         return model
     rng = np.random.default_rng(5)
