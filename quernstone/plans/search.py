@@ -50,6 +50,8 @@ def knn(df: DataFrame, id_col: str, vector_col: str, query: list[float], k: int,
 
 
 QUERY_BYTES = 32 << 20  # of queries that go to every task at once
+CELLS = 1 << 19  # distances that a task works on at once
+FOUND = 1024  # queries whose rows a task hands over at once
 
 
 def unit(x: np.ndarray, metric: str) -> np.ndarray:
@@ -78,10 +80,18 @@ class Nearest:
             best = sorted(range(len(far)), key=lambda i: (far[i], all_ids[i]))[: self.k]
             self.d[q], self.ids[q] = far[best], all_ids[best]
 
-    def batch(self, qids: list, kinds: list) -> pa.RecordBatch:
-        n = [len(x) for x in self.d]
-        columns = [[q for q, c in zip(qids, n) for _ in range(c)], [i for x in self.ids for i in x.tolist()], [float(v) for x in self.d for v in x]]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [*kinds, pa.float64()])], ["query_id", "id", "distance"])
+    def meet(self, which: np.ndarray, q: np.ndarray, x: np.ndarray, ids: np.ndarray, metric: str) -> None:
+        """The queries in which against rows x, sorted by ids; CELLS distances at once."""
+        step = max(1, CELLS // max(len(x), 1))
+        for lo in range(0, len(which), step):
+            some = which[lo : lo + step]
+            self.add(some, distances(q[some], x, metric), ids)
+
+    def batches(self, qids: list, kinds: list):
+        for lo in range(0, len(qids), FOUND):
+            d, found = self.d[lo : lo + FOUND], self.ids[lo : lo + FOUND]
+            columns = [[q for q, x in zip(qids[lo : lo + FOUND], d) for _ in range(len(x))], [i for x in found for i in x.tolist()], np.concatenate(d)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [*kinds, pa.float64()])], ["query_id", "id", "distance"])
 
 
 def matrix(column, dim: int) -> np.ndarray:
@@ -140,16 +150,14 @@ def knn_many(df: DataFrame, id_col: str, vector_col: str, queries: DataFrame, k:
                 order = np.array(sorted(range(len(names)), key=names.__getitem__))
                 x, names = x[order], names[order]
                 if looks is None:
-                    for lo in range(0, len(ids), 1024):
-                        which = np.arange(lo, min(lo + 1024, len(ids)))
-                        best.add(which, distances(q[which], x, metric), names)
+                    best.meet(np.arange(len(ids)), q, x, names, metric)
                 else:
                     cluster = np.asarray(b.column(2).to_pylist())[order]
                     for c in np.unique(cluster).tolist():
                         if c in by:
-                            which, mine = np.array(by[c]), cluster == c
-                            best.add(which, distances(q[which], x[mine], metric), names[mine])
-            yield best.batch(ids, kinds)
+                            mine = cluster == c
+                            best.meet(np.array(by[c]), q, x[mine], names[mine], metric)
+            yield from best.batches(ids, kinds)
 
         got = part.mapInArrow(run, schema)
         found = got if found is None else found.unionByName(got)
@@ -223,25 +231,30 @@ def ivf_search(centres: np.ndarray, clustered: DataFrame, id_col: str, vector_co
     return knn(clustered.where(F.col("cluster").isin(probe(centres, query, metric, nprobe))), id_col, vector_col, query, k, metric)
 
 
+CALIBRATION, TARGET = 200, 0.95  # queries that fix an index's default effort (nprobe, ef_search), and the recall they must reach
+EF, EF_MAX = 64, 1024  # least and greatest fitted ef_search
+
+
 class Hnsw:
     """A hierarchical navigable small world graph over one shard's vectors."""
 
     def __init__(self, metric: str = "cosine", m: int = 16, ef_construction: int = 200, seed: int = 3):
         self.metric, self.m, self.ef, self.rng = metric, m, max(ef_construction, m), np.random.default_rng(seed)
-        self.x: list[np.ndarray] = []
+        self.x = np.zeros((0, 0))  # len(links) vectors, and room
         self.links: list[list[list[int]]] = []
         self.entry = -1
+        self.ef_search = EF  # by fit(); 0: the graph misses too many, its vectors are scanned
 
     def _far(self, q: np.ndarray, ids: list[int]) -> np.ndarray:
-        v = np.array([self.x[i] for i in ids])
+        v = self.x[ids]
         return ((v - q) ** 2).sum(1) if self.metric == "l2" else 1 - v @ q
 
     def _unit(self, v) -> np.ndarray:
         v = np.asarray(v, np.float64)
         return v if self.metric == "l2" else v / max(np.linalg.norm(v), 1e-300)
 
-    def _layer(self, q: np.ndarray, start: list[tuple[float, int]], ef: int, level: int) -> list[tuple[float, int]]:
-        seen, todo = {i for _, i in start}, list(start)
+    def _layer(self, q: np.ndarray, start: list[tuple[float, int]], ef: int, level: int, skip: int = -1) -> list[tuple[float, int]]:
+        seen, todo = {skip, *(i for _, i in start)}, list(start)
         heapq.heapify(todo)
         best = [(-d, i) for d, i in start]
         heapq.heapify(best)
@@ -277,9 +290,14 @@ class Hnsw:
         return kept
 
     def add(self, vector) -> None:
-        q, me = self._unit(vector), len(self.x)
+        q, me = self._unit(vector), len(self.links)
         top = int(-math.log(max(self.rng.random(), 1e-12)) / math.log(self.m))
-        self.x.append(q)
+        if me == len(self.x):
+            room = np.zeros((max(64, 2 * me), len(q)))
+            if me:
+                room[:me] = self.x
+            self.x = room
+        self.x[me] = q
         self.links.append([[] for _ in range(top + 1)])
         if self.entry < 0:
             self.entry = me
@@ -300,27 +318,62 @@ class Hnsw:
         if top > height:
             self.entry = me
 
-    def search(self, query, k: int, ef: int) -> list[int]:
+    def search(self, query, k: int, ef: int, skip: int = -1) -> list[int]:
+        """skip: a point that is passed by, unless the search starts there."""
         if self.entry < 0:
             return []
         q = self._unit(query)
         at = [(float(self._far(q, [self.entry])[0]), self.entry)]
         for level in range(len(self.links[self.entry]) - 1, 0, -1):
-            at = self._layer(q, at[:1], 1, level)
-        return [i for _, i in self._layer(q, at, max(ef, k), 0)[:k]]
-
+            at = self._layer(q, at[:1], 1, level, skip)
+        return [i for _, i in self._layer(q, at, max(ef, k), 0, skip)[:k]]
+
+    def find(self, best: Nearest, q: np.ndarray, k: int, ef_search: int | None, names: np.ndarray, skip: list[int] | None = None) -> None:
+        """Adds, by name, what is found for each of q, unit() vectors."""
+        ef = ef_search or self.ef_search
+        if not ef:
+            return self.scan(best, q, names)
+        for i in range(len(q)):
+            hits = sorted(self.search(q[i], max(k, ef), max(k, ef), skip[i] if skip else -1), key=names.__getitem__)
+            if hits:
+                best.add(np.array([i]), distances(q[i : i + 1], self.x[hits], self.metric), names[hits])
+
+    def scan(self, best: Nearest, q: np.ndarray, names: np.ndarray) -> None:
+        """Adds the nearest of all vectors for each of q."""
+        order = np.array(sorted(range(len(names)), key=names.__getitem__), np.int64)
+        for lo in range(0, len(order), 4096):
+            some = order[lo : lo + 4096]
+            best.meet(np.arange(len(q)), q, self.x[some], names[some], self.metric)
+
+    def fit(self, names: np.ndarray) -> None:
+        """The least ef_search (of EF and steps of half) with which CALIBRATION of the rows, each
+        as if it weren't in the graph (as queries of other shards aren't), find
+        TARGET of the ten nearest to them; 0 if EF_MAX
+        doesn't do."""
+        rows = np.sort(np.random.default_rng(5).permutation(len(names))[:CALIBRATION]).tolist()
+        q, near = self.x[rows], Nearest(len(rows), 11)
+        self.scan(near, q, names)
+        want = [[i for i in ids if i != names[r]][:10] for ids, r in zip(near.ids, rows)]
+        self.ef_search = EF
+        while self.ef_search:
+            got = Nearest(len(rows), 11)
+            self.find(got, q, 11, None, names, rows)
+            if sum(len(set(a).intersection(b)) for a, b in zip(want, got.ids)) >= TARGET * sum(map(len, want)):
+                return
+            self.ef_search = self.ef_search * 3 // 2 if self.ef_search < EF_MAX else 0
 
     def encode(self) -> bytes:
         """Header (JSON), vectors, and the links level by level."""
         flat = [j for node in self.links for level in node for j in level]
         counts = [len(level) for node in self.links for level in node]
-        head = json.dumps({"v": 1, "metric": self.metric, "m": self.m, "ef": self.ef, "entry": self.entry, "n": len(self.x), "dim": len(self.x[0]) if self.x else 0, "levels": [len(node) for node in self.links]}).encode()
-        return len(head).to_bytes(4, "little") + head + np.array(self.x, "<f8").tobytes() + np.array(counts, "<i4").tobytes() + np.array(flat, "<i4").tobytes()
+        x = self.x[: len(self.links)]
+        head = json.dumps({"v": 1, "metric": self.metric, "m": self.m, "ef": self.ef, "ef_search": self.ef_search, "entry": self.entry, "n": len(x), "dim": x.shape[1], "levels": [len(node) for node in self.links]}).encode()
+        return len(head).to_bytes(4, "little") + head + x.astype("<f8").tobytes() + np.array(counts, "<i4").tobytes() + np.array(flat, "<i4").tobytes()
 
     @classmethod
-    def decode(cls, raw: bytes) -> Hnsw:
+    def decode(cls, raw: bytes | memoryview) -> Hnsw:
         size = int.from_bytes(raw[:4], "little")
-        head = json.loads(raw[4 : 4 + size])
+        head = json.loads(bytes(raw[4 : 4 + size]))
         if head.get("v") != 1:
             raise Validation("unknown index format")
         out = cls(head["metric"], head["m"], head["ef"])
@@ -328,45 +381,62 @@ class Hnsw:
         x = np.frombuffer(raw, "<f8", head["n"] * head["dim"], at).reshape(head["n"], -1) if head["n"] else np.zeros((0, 0))
         at += x.size * 8
         counts = np.frombuffer(raw, "<i4", sum(head["levels"]), at).tolist()
-        flat = np.frombuffer(raw, "<i4", -1, at + 4 * len(counts)).tolist()
-        out.x, out.entry, c, f = list(x), head["entry"], 0, 0
+        flat, nodes = np.frombuffer(raw, "<i4", -1, at + 4 * len(counts)), np.array(range(head["n"]), object)  # a number once for all its links
+        out.x, out.entry, out.ef_search, c, f = x.astype(np.float64), head["entry"], head.get("ef_search", EF), 0, 0
         for levels in head["levels"]:
             node = []
             for n in counts[c : c + levels]:
-                node.append(flat[f : f + n])
+                node.append(nodes[flat[f : f + n]].tolist())
                 f += n
             out.links.append(node)
             c += levels
         return out
 
 
+SHARD_BYTES = 32 << 20  # of a shard's vectors
+
+
+def _graphs(batches, shard_rows: int, metric: str, m: int, ef_construction: int):
+    """(ids, fitted graph) of each shard of rows."""
+
+    def shard():
+        names = np.array(ids, object)
+        graph.fit(names)
+        return names, graph
+
+    ids, graph = [], Hnsw(metric, m, ef_construction)
+    for b in batches:
+        if not b.num_rows:
+            continue
+        dim = len(b.column(1)[0])
+        most = max(1, min(shard_rows, SHARD_BYTES // (8 * max(dim, 1))))
+        for i, v in zip(b.column(0).to_pylist(), matrix(b.column(1), dim)):
+            ids.append(i)
+            graph.add(v)
+            if len(ids) >= most:
+                yield shard()
+                ids, graph = [], Hnsw(metric, m, ef_construction)
+    if ids:
+        yield shard()
+
+
 def build_hnsw(df: DataFrame, id_col: str, vector_col: str, metric: str = "cosine", m: int = 16, ef_construction: int = 200, shard_rows: int = 20_000) -> DataFrame:
     """(ids, graph): the encoded graph of each shard of rows."""
     rows = df.where(F.col(vector_col).isNotNull()).select(id_col, vector_col)
-    kind = rows.schema[id_col].dataType.simpleString()
-
-    def run(batches):
-        ids, graph, schema = [], Hnsw(metric, m, ef_construction), None
+    from pyspark.sql.pandas.types import to_arrow_type
 
-        def row():
-            return pa.RecordBatch.from_arrays([pa.array([ids], pa.list_(schema[0].type)), pa.array([graph.encode()], pa.binary())], ["ids", "graph"])
+    kind = to_arrow_type(rows.schema[id_col].dataType)
 
-        for b in batches:
-            schema = b.schema
-            for i, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                ids.append(i)
-                graph.add(v)
-                if len(ids) == shard_rows:
-                    yield row()
-                    ids, graph = [], Hnsw(metric, m, ef_construction)
-        if ids:
-            yield row()
+    def run(batches):
+        for names, graph in _graphs(batches, shard_rows, metric, m, ef_construction):
+            yield pa.RecordBatch.from_arrays([pa.array([names.tolist()], pa.list_(kind)), pa.array([graph.encode()], pa.binary())], ["ids", "graph"])
 
-    return rows.mapInArrow(run, f"ids array<{kind}>, graph binary")
+    return rows.mapInArrow(run, f"ids array<{rows.schema[id_col].dataType.simpleString()}>, graph binary")
 
 
-def hnsw_many(shards: DataFrame, queries: DataFrame, k: int, metric: str, ef_search: int = 64) -> DataFrame:
-    """(query_id, id, distance): each shard's ef_search best for each query."""
+def hnsw_many(shards: DataFrame, queries: DataFrame, k: int, metric: str, ef_search: int | None = None, spare: bool = False) -> DataFrame:
+    """(query_id, id, distance): each shard's k best for each query, with the
+    shard's own ef_search unless one is given.  spare: all that was found on the way."""
     spark = shards.sparkSession
     qkind, ikind = queries.schema["query_id"].dataType, shards.schema["ids"].dataType.elementType
     schema = f"query_id {qkind.simpleString()}, id {ikind.simpleString()}, distance double"
@@ -378,53 +448,39 @@ def hnsw_many(shards: DataFrame, queries: DataFrame, k: int, metric: str, ef_sea
 
         def run(batches, shared=shared):
             qids, vectors = shared.value
-            q = unit(vectors, metric)
             for b in batches:
-                for names, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                    graph = Hnsw.decode(raw)
-                    best = Nearest(len(qids), max(k, ef_search))
-                    for i in range(len(qids)):
-                        hits = graph.search(vectors[i], max(k, ef_search), max(k, ef_search))
-                        hits.sort(key=lambda j: names[j])
-                        x = np.array([graph.x[j] for j in hits])
-                        best.add(np.array([i]), distances(q[i : i + 1], x, metric), np.array([names[j] for j in hits], object))
-                    yield best.batch(qids, kinds)
+                for names, raw in zip(b.column(0), b.column(1)):
+                    graph, names = Hnsw.decode(memoryview(raw.as_buffer())), np.array(names.as_py(), object)
+                    most = max(k, ef_search or graph.ef_search or EF) if spare else k
+                    for lo in range(0, len(qids), FOUND):
+                        q = unit(vectors[lo : lo + FOUND], metric)
+                        best = Nearest(len(q), most)
+                        graph.find(best, q, k, ef_search, names)
+                        yield from best.batches(qids[lo : lo + FOUND], kinds)
 
         found = found.unionByName(shards.mapInArrow(run, schema))
     return found
 
 
-def hnsw_search(df: DataFrame, id_col: str, vector_col: str, query: list[float], k: int, metric: str = "cosine", m: int = 16, ef_construction: int = 200, ef_search: int = 64, shard_rows: int = 20_000) -> DataFrame:
-    """Each shard of rows builds its graph and gives k candidates, whose exact
-    distances are merged."""
+def hnsw_search(df: DataFrame, id_col: str, vector_col: str, query: list[float], k: int, metric: str = "cosine", m: int = 16, ef_construction: int = 200, ef_search: int | None = None, shard_rows: int = 20_000) -> DataFrame:
+    """(id_col, distance): each shard of rows builds its graph and gives k
+    candidates, which are merged."""
+    if not 1 <= k <= K_MAX:
+        raise Validation(f"k is 1 to {K_MAX}")
     rows = df.where(F.col(vector_col).isNotNull()).select(id_col, vector_col)
+    from pyspark.sql.pandas.types import to_arrow_type
 
-    def run(batches):
-        def best(ids, vectors):
-            g = Hnsw(metric, m, ef_construction)
-            for v in vectors:
-                g.add(v)
-            pick = g.search(query, k, ef_search)
-            return [ids[i] for i in pick], [vectors[i] for i in pick]
-
-        ids, vectors, schema = [], [], None
-        for b in batches:
-            schema = b.schema
-            ids += b.column(0).to_pylist()
-            vectors += b.column(1).to_pylist()
-            while len(ids) >= shard_rows:
-                a, v = best(ids[:shard_rows], vectors[:shard_rows])
-                yield pa.RecordBatch.from_arrays([pa.array(a, schema[0].type), pa.array(v, schema[1].type)], schema.names)
-                ids, vectors = ids[shard_rows:], vectors[shard_rows:]
-        if ids:
-            a, v = best(ids, vectors)
-            yield pa.RecordBatch.from_arrays([pa.array(a, schema[0].type), pa.array(v, schema[1].type)], schema.names)
-
-    near = rows.mapInArrow(run, rows.schema)
-    return knn(near, id_col, vector_col, query, k, metric)
+    kind = to_arrow_type(rows.schema[id_col].dataType)
 
+    def run(batches):
+        q = unit(np.array([query], np.float32).astype(np.float64), metric)
+        for names, graph in _graphs(batches, shard_rows, metric, m, ef_construction):
+            best = Nearest(1, k)
+            graph.find(best, q, k, ef_search, names)
+            yield pa.RecordBatch.from_arrays([pa.array(best.ids[0].tolist(), kind), pa.array(best.d[0])], [id_col, "distance"])
 
-CALIBRATION, TARGET = 200, 0.95  # queries that fix an index's default nprobe, and the recall they must reach
+    near = rows.mapInArrow(run, f"`{id_col}` {rows.schema[id_col].dataType.simpleString()}, distance double")
+    return near.orderBy("distance", id_col).limit(k)
 
 
 class IndexStore:
@@ -503,7 +559,7 @@ class IndexStore:
         """(query_id, id, distance) among the index's rows that haven't changed."""
         spark, i = self.ctx.spark, meta["identity"]
         if meta["kind"] == "hnsw":
-            found = hnsw_many(spark.read.parquet(f"{meta['path']}/shards"), queries, k, meta["metric"], ef_search or 64)
+            found = hnsw_many(spark.read.parquet(f"{meta['path']}/shards"), queries, k, meta["metric"], ef_search, changed is not None)
             return found if changed is None else found.join(changed.select(F.col(i).alias("id")), "id", "left_anti")
         rows = spark.read.parquet(f"{meta['path']}/rows")
         if changed is not None:
@@ -573,7 +629,7 @@ def governed_knn(ctx: Context, subject: str, type_name: str, index_name: str, qu
         centres, clustered = build_ivf(all_rows, i, index.property, index.metric, index.nlist)
         hits = ivf_search(centres, clustered, i, index.property, query, k, index.metric, nprobe)
     elif index.kind == "hnsw":
-        hits = hnsw_search(all_rows, i, index.property, query, k, index.metric, index.m, index.ef_construction, ef_search or 64)
+        hits = hnsw_search(all_rows, i, index.property, query, k, index.metric, index.m, index.ef_construction, ef_search)
     else:
         hits = knn(all_rows, i, index.property, query, k, index.metric)
     kept = hits.join(g.raw.select(i), i, "left_semi")

@@ -417,6 +417,48 @@ def test_hnsw_codec():
     assert back.links == g.links and back.search(g.x[7], 5, 20) == g.search(g.x[7], 5, 20) and Hnsw.decode(Hnsw().encode()).search([1.0], 3, 3) == []
 
 
+def vectors(spark, x):
+    schema = T.StructType([T.StructField("id", T.LongType(), False), T.StructField("e", T.ArrayType(T.FloatType(), False))])
+    return spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(x)], schema)
+
+
+@pytest.mark.parametrize("copies", [1, 60])
+def test_hnsw_recall(eng, spark, copies):
+    """A sparse graph over vectors without clusters, and one over copies, find nine of ten without being told an ef_search."""
+    import numpy as np
+
+    x = np.repeat(np.random.default_rng(4).normal(size=(1500 // copies, 32)), copies, axis=0)
+    rows = vectors(spark, x).coalesce(1)
+    eng.registry.define_type(ObjectType("Doc", "main.vecs", (Property("id", "long", True), Property("e", "vector(32)")), "id"))
+    eng.acl.grant("r", "Doc")
+    for kind in ("flat", "hnsw"):
+        eng.registry.define_index(VectorIndex(kind, "Doc", "e", "cosine", kind, m=4, ef_construction=12))
+    eng.catalog.create("main.vecs", rows.schema, identity="id")
+    eng.land("main.vecs", rows)
+    eng.build_index("Doc", "hnsw")
+    asked = rows.where("id % 30 = 0").selectExpr("id AS query_id", "e AS vector")
+    pairs = lambda kind: {(r.query_id, r.id) for r in eng.search_many("u", "Doc", kind, asked, 10).collect()}
+    want = pairs("flat")
+    assert len(want) == 500 and len(want & pairs("hnsw")) >= 0.9 * len(want)
+
+
+def test_hnsw_scan():
+    """A graph that no ef_search helps is scanned."""
+    import numpy as np
+
+    from quernstone.plans.search import Hnsw, Nearest, unit
+
+    x = np.random.default_rng(2).normal(size=(300, 4))
+    g, names = Hnsw("cosine", 4, 20), np.arange(300).astype(object)
+    for v in x:
+        g.add(v)
+    g.links = [[[] for _ in node] for node in g.links]  # nothing leads anywhere
+    g.fit(names)
+    back, best = Hnsw.decode(g.encode()), Nearest(1, 5)
+    back.find(best, unit(x[7:8], "cosine"), 5, None, names)
+    assert back.ef_search == 0 and best.ids[0].tolist() == np.argsort(-unit(x, "cosine") @ unit(x[7:8], "cosine")[0])[:5].tolist()
+
+
 def test_kept_indexes(eng, spark):
     schema = T.StructType([T.StructField("id", T.LongType(), False), T.StructField("e", T.ArrayType(T.FloatType(), False))])
     rows = lambda a, b, s=1.0: spark.createDataFrame([(i, [float(i) * s, 1.0]) for i in range(a, b)], schema)
