@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..sources.arrow import BATCH_BYTES, arrow_map, release  # noqa: F401  for the operators
 from ..sources.scratch import cut, discard, settled, shared_dir  # noqa: F401  for the operators
 
 
@@ -23,41 +24,6 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
-BATCH_BYTES = 8 << 20  # of an Arrow batch that Python code works on at once, or one row of more
-
-
-def release() -> None:
-    """Gives memory back that this worker process doesn't need: it stays alive
-    between tasks and shares its executor's memory."""
-    import ctypes
-
-    import pyarrow as pa
-
-    pa.default_memory_pool().release_unused()
-    try:
-        ctypes.CDLL("libc.so.6").malloc_trim(0)
-    except (OSError, AttributeError):
-        pass
-
-
-def arrow_map(df: DataFrame, function, schema) -> DataFrame:
-    """df.mapInArrow with batches of about BATCH_BYTES, tidied up after each task."""
-
-    def small(batches):
-        for b in batches:
-            step = max(1, b.num_rows * BATCH_BYTES // max(b.nbytes, 1))
-            for lo in range(0, b.num_rows, step):
-                yield b.slice(lo, step)
-
-    def run(batches):
-        try:
-            yield from function(small(batches))
-        finally:
-            release()
-
-    return df.mapInArrow(run, schema)
-
-
 def blocks(batches, place: int, limit: int):
     """(block number, rows) of the task's input in turn: as many rows as hold at
     most limit bytes in the string column at place, or one row of more.  It

@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..errors import DimensionMismatch, NoIndex, Validation
 from ..ontology import VectorIndex
+from ..sources.arrow import arrow_map
 from ..types import dimension
 from .governed import Context, governed
 
@@ -159,7 +160,7 @@ def knn_many(df: DataFrame, id_col: str, vector_col: str, queries: DataFrame, k:
                             best.meet(np.array(by[c]), q, x[mine], names[mine], metric)
             yield from best.batches(ids, kinds)
 
-        got = part.mapInArrow(run, schema)
+        got = arrow_map(part, run, schema)
         found = got if found is None else found.unionByName(got)
     if found is None:
         found = spark.createDataFrame([], schema)
@@ -217,7 +218,7 @@ def build_ivf(df: DataFrame, id_col: str, vector_col: str, metric: str = "cosine
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cluster, pa.int32())], [*b.schema.names, "cluster"])
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
-    return centres, rows.mapInArrow(assign, f"{schema}, cluster int")
+    return centres, arrow_map(rows, assign, f"{schema}, cluster int")
 
 
 def probe(centres: np.ndarray, query: list[float], metric: str, nprobe: int | None = None) -> list[int]:
@@ -431,7 +432,7 @@ def build_hnsw(df: DataFrame, id_col: str, vector_col: str, metric: str = "cosin
         for names, graph in _graphs(batches, shard_rows, metric, m, ef_construction):
             yield pa.RecordBatch.from_arrays([pa.array([names.tolist()], pa.list_(kind)), pa.array([graph.encode()], pa.binary())], ["ids", "graph"])
 
-    return rows.mapInArrow(run, f"ids array<{rows.schema[id_col].dataType.simpleString()}>, graph binary")
+    return arrow_map(rows, run, f"ids array<{rows.schema[id_col].dataType.simpleString()}>, graph binary")
 
 
 def hnsw_many(shards: DataFrame, queries: DataFrame, k: int, metric: str, ef_search: int | None = None, spare: bool = False) -> DataFrame:
@@ -458,7 +459,7 @@ def hnsw_many(shards: DataFrame, queries: DataFrame, k: int, metric: str, ef_sea
                         graph.find(best, q, k, ef_search, names)
                         yield from best.batches(qids[lo : lo + FOUND], kinds)
 
-        found = found.unionByName(shards.mapInArrow(run, schema))
+        found = found.unionByName(arrow_map(shards, run, schema))
     return found
 
 
@@ -479,7 +480,7 @@ def hnsw_search(df: DataFrame, id_col: str, vector_col: str, query: list[float],
             graph.find(best, q, k, ef_search, names)
             yield pa.RecordBatch.from_arrays([pa.array(best.ids[0].tolist(), kind), pa.array(best.d[0])], [id_col, "distance"])
 
-    near = rows.mapInArrow(run, f"`{id_col}` {rows.schema[id_col].dataType.simpleString()}, distance double")
+    near = arrow_map(rows, run, f"`{id_col}` {rows.schema[id_col].dataType.simpleString()}, distance double")
     return near.orderBy("distance", id_col).limit(k)
 
 

@@ -1,7 +1,9 @@
-"""Sources that are in memory: Arrow streams and batches, empty tables."""
+"""Sources that are in memory: Arrow streams and batches, empty tables; columns made by
+Python code from Arrow batches."""
 
 from __future__ import annotations
 
+import ctypes
 import io
 
 import pyarrow as pa
@@ -44,3 +46,34 @@ def batches(spark: SparkSession, name: str, parts: list[pa.RecordBatch], schema:
 
 def empty(spark: SparkSession, schema: T.StructType) -> DataFrame:
     return spark.createDataFrame([], schema)
+
+
+BATCH_BYTES = 8 << 20  # of an Arrow batch that Python code works on at once, or one row of more
+
+
+def release() -> None:
+    """Gives memory back that this worker process doesn't need: it stays alive
+    between tasks and shares its executor's memory."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
+
+
+def arrow_map(df: DataFrame, function, schema) -> DataFrame:
+    """df.mapInArrow with batches of about BATCH_BYTES, tidied up after each task."""
+
+    def small(batches):
+        for b in batches:
+            step = max(1, b.num_rows * BATCH_BYTES // max(b.nbytes, 1))
+            for lo in range(0, b.num_rows, step):
+                yield b.slice(lo, step)
+
+    def run(batches):
+        try:
+            yield from function(small(batches))
+        finally:
+            release()
+
+    return df.mapInArrow(run, schema)

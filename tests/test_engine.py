@@ -3,7 +3,7 @@
 import datetime as dt
 
 import pytest
-from pyspark.sql import types as T
+from pyspark.sql import functions as F, types as T
 
 from quernstone import acl as A
 from quernstone.actions import Action, Assign, Step
@@ -459,6 +459,35 @@ def test_hnsw_scan():
     assert back.ef_search == 0 and best.ids[0].tolist() == np.argsort(-unit(x, "cosine") @ unit(x[7:8], "cosine")[0])[:5].tolist()
 
 
+def test_hnsw_memory(spark):
+    """What a task holds follows the shard, not the queries: k rows a query, in pieces, from a graph of a few times its bytes."""
+    import tracemalloc
+
+    import numpy as np
+
+    from quernstone.plans import search as S
+
+    x = np.random.default_rng(3).normal(size=(500, 8))
+    shards = S.build_hnsw(vectors(spark, x).coalesce(1), "id", "e", shard_rows=200).cache()
+    graphs, asked = shards.orderBy(F.col("ids")[0]).collect(), vectors(spark, x[:40]).selectExpr("id AS query_id", "e AS vector")
+    assert [len(r.ids) for r in graphs] == [200, 200, 100]
+    assert S.hnsw_many(shards, asked, 10, "cosine").count() == 3 * 40 * 10
+    assert S.hnsw_many(shards, asked, 10, "cosine", spare=True).count() == 3 * 40 * 64
+    shards.unpersist()
+    raw = bytes(graphs[0].graph)
+    tracemalloc.start()
+    try:
+        g = S.Hnsw.decode(raw)
+        assert len(g.links) == 200 and tracemalloc.get_traced_memory()[0] < 4 * len(raw)
+        tracemalloc.reset_peak()
+        best, q = S.Nearest(3000, 10), np.ones((3000, 8))
+        best.meet(np.arange(3000), q, np.ones((10_000, 8)), np.arange(10_000).astype(object), "cosine")
+        assert max(b.num_rows for b in best.batches(list(range(3000)), [S.pa.int64(), S.pa.int64()])) <= 10 * S.FOUND
+        assert tracemalloc.get_traced_memory()[1] < 50 << 20  # all distances at once take 240 MB
+    finally:
+        tracemalloc.stop()
+
+
 def test_kept_indexes(eng, spark):
     schema = T.StructType([T.StructField("id", T.LongType(), False), T.StructField("e", T.ArrayType(T.FloatType(), False))])
     rows = lambda a, b, s=1.0: spark.createDataFrame([(i, [float(i) * s, 1.0]) for i in range(a, b)], schema)
